@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, imatch
 from .common import table
 from .mixing import mix
 from .sharding import place
@@ -20,6 +22,19 @@ WEIGHTS = [3, 1, 2]
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, stable=True), path)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,4 +48,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard", "shard_without_last")
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_url_filters, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op8_mixing, op9_url_filters, op10_sharding)}
