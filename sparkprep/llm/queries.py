@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, imatch
+from . import attribution, bpe, imatch, jpeg, langid
 from .common import table
 from .mixing import mix
 from .sharding import place
@@ -35,6 +36,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, stable=True), path)
 
 
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.texts_as_pictures(table(spark, sf_dir, "documents"))
+
+
+def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line of each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return attribution.section_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ["doc_id"])
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    said = langid.predict(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,4 +66,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard", "shard_without_last")
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op8_mixing, op9_url_filters, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op4_jpeg, op5_token_attribution, op7_language_id, op8_mixing, op9_url_filters, op10_sharding)}
