@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, imatch, jpeg, langid
+from . import attribution, bpe, imatch, jpeg, langid, pii
 from .common import table
 from .mixing import mix
 from .sharding import place
@@ -36,6 +36,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, stable=True), path)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).drop("redacted")
+
+
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.texts_as_pictures(table(spark, sf_dir, "documents"))
 
@@ -66,4 +70,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard", "shard_without_last")
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op4_jpeg, op5_token_attribution, op7_language_id, op8_mixing, op9_url_filters, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op3_pii, op4_jpeg, op5_token_attribution, op7_language_id, op8_mixing, op9_url_filters, op10_sharding)}
