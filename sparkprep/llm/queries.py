@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, imatch, jpeg, langid, pii
+from . import attribution, bpe, imatch, jaccard_join, jpeg, langid, pii
 from .common import table
 from .mixing import mix
 from .sharding import place
@@ -50,6 +50,10 @@ def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -70,4 +74,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard", "shard_without_last")
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op3_pii, op4_jpeg, op5_token_attribution, op7_language_id, op8_mixing, op9_url_filters, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_byte_bpe, op3_pii, op4_jpeg, op5_token_attribution, op6_jaccard_join, op7_language_id, op8_mixing, op9_url_filters, op10_sharding)}

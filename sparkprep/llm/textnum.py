@@ -102,10 +102,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(total[a : b - k + 1]))
         elif b > a:
-            h = U64(b - a)
-            for x in one[a:b]:
-                h = mix(np.array([h * U64(3) ^ x], U64))[0]
-            out.append(np.array([h], U64))
+            whole = np.array([b - a], U64)
+            for i in range(a, b):
+                whole = mix(whole * U64(3) ^ one[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, U64))
     return out
