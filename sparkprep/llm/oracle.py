@@ -53,21 +53,19 @@ def _longest(value) -> str:
 
 def _spread(name: str, seed: str, source: str, target: str, rounds: int = 9, damping: float = 0.85) -> str:
     steps = [
-        f"{name}_seed AS (SELECT host, CASE WHEN sum({seed}) OVER () > 0 THEN {seed} / sum({seed}) OVER () ELSE 0 END AS seed FROM hosts)",
         f"{name}_step AS (SELECT {source} AS host, {target} AS dest, n / sum(n) OVER (PARTITION BY {source}) AS share FROM edges)",
-        f"{name}_0 AS (SELECT host, seed AS score, seed FROM {name}_seed)",
+        f"{name}_0 AS (SELECT host, {seed} AS score, {seed} AS seed FROM hosts)",
     ]
     for i in range(rounds):
         steps.append(
-            f"{name}_{i + 1} AS MATERIALIZED (SELECT s.host, {damping} * coalesce(g.got, 0) + ({1 - damping:.17g} + {damping} * "
-            f"coalesce((SELECT sum(score) FROM {name}_{i} WHERE host NOT IN (SELECT host FROM {name}_step)), 0)) * s.seed AS score, s.seed "
+            f"{name}_{i + 1} AS MATERIALIZED (SELECT s.host, {damping} * coalesce(g.got, 0) + {1 - damping:.17g} * s.seed AS score, s.seed "
             f"FROM {name}_{i} s LEFT JOIN (SELECT dest, sum(score * share) AS got FROM {name}_{i} JOIN {name}_step USING (host) GROUP BY dest) g ON g.dest = s.host)"
         )
-    steps.append(f"{name} AS (SELECT host, CASE WHEN (SELECT count(*) FROM edges) = 0 THEN seed ELSE score END AS score FROM {name}_{rounds})")
+    last = "(CASE WHEN (SELECT count(*) FROM edges) = 0 THEN seed ELSE score END)"
+    steps.append(f"{name} AS (SELECT host, CASE WHEN sum({last}) OVER () > 0 THEN {last} / sum({last}) OVER () ELSE 0 END AS score FROM {name}_{rounds})")
     return ",\n".join(steps)
 
 
-_FIND = "href|src"
 OP9 = f"""
 WITH parsed AS (
   SELECT page_id, html,
@@ -79,7 +77,7 @@ hosts AS (
   SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allowed, avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked
   FROM ruled WHERE host <> '' GROUP BY host),
 found AS (
-  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:{_FIND})\\s*=\\s*[\\x22\\x27]?[a-z][a-z0-9+.-]*://([^/?#\\x22\\x27\\s>]*)', 1)),
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*[\\x22\\x27]?[a-z][a-z0-9+.-]*://([^/?#\\x22\\x27\\s>]*)', 1)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM parsed),
 edges AS (
   SELECT src, dst, count(*) AS n FROM found WHERE src <> dst AND src IN (SELECT host FROM hosts) AND dst IN (SELECT host FROM hosts) GROUP BY src, dst),

@@ -68,39 +68,25 @@ def links(pages: DataFrame) -> DataFrame:
 def spread(hosts: DataFrame, edges: DataFrame, seed: str, source: str, target: str, damping: float, rounds: int) -> DataFrame:
     """(host, score): personalised PageRank over ``edges`` from ``source`` to ``target``, restarting at ``seed``.
 
-    The mass of hosts without outgoing edges returns to the seeds.
+    Scores add up to 1 (or are all 0): mass that leaves at hosts without outgoing edges returns to the seeds in proportion,
+    which in the limit scales all scores alike.
     """
-    total = hosts.agg(F.sum(seed).alias("total"))
-    seeds = hosts.crossJoin(F.broadcast(total)).select(
-        "host", F.when(F.col("total") > 0, F.col(seed) / F.col("total")).otherwise(0.0).alias("seed")
-    )
     outs = edges.groupBy(source).agg(F.sum("n").alias("all"))
     step = edges.join(outs, source).select(
         F.col(source).alias("host"), F.col(target).alias("to"), (F.col("n") / F.col("all")).alias("share")
     )
     step = cut(step, "links")
-    scores = seeds.select("host", F.col("seed").alias("score"), "seed")
-    if step.isEmpty():
-        return scores.select("host", "score")
-    has_out = step.select("host").distinct().withColumn("out", F.lit(True))
-    for i in range(rounds):
-        now = scores.join(has_out, "host", "left")
-        lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
-        got = scores.join(step, "host").groupBy("to").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        scores = (
-            scores.join(got.withColumnRenamed("to", "host"), "host", "left")
-            .crossJoin(F.broadcast(lost))  # one row
-            .select(
-                "host",
-                (
-                    damping * F.coalesce("got", F.lit(0.0)) + (1 - damping + damping * F.col("lost")) * F.col("seed")
-                ).alias("score"),
-                "seed",
+    scores = hosts.select("host", F.col(seed).alias("score"), F.col(seed).alias("seed"))
+    if not step.isEmpty():
+        for i in range(rounds):
+            got = scores.join(step, "host").groupBy("to").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            scores = scores.join(got.withColumnRenamed("to", "host"), "host", "left").select(
+                "host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("score"), "seed"
             )
-        )
-        if i % 3 == 2:
-            scores = cut(scores, "scores")
-    return scores.select("host", "score")
+            if i % 3 == 2:
+                scores = cut(scores, "scores")
+    total = scores.agg(F.sum("score")).first()[0] or 0.0
+    return scores.select("host", (F.col("score") / total if total else F.lit(0.0)).alias("score"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int = 9) -> DataFrame:
@@ -123,13 +109,8 @@ def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: in
     )
     trust = spread(hosts, edges, "allowed", "src", "dst", damping, rounds).withColumnRenamed("score", "trust")
     distrust = spread(hosts, edges, "blocked", "dst", "src", damping, rounds).withColumnRenamed("score", "distrust")
-    size = hosts.agg(F.count("*").alias("hosts"))
-    scores = (
-        trust.join(distrust, "host")
-        .crossJoin(F.broadcast(size))  # one row
-        .withColumn("bad", (F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("hosts") > 1))
-        .select("host", "trust", "distrust", "bad")
-    )
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts.count() > 1)
+    scores = trust.join(distrust, "host").withColumn("bad", bad)
     by_method = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
     return ruled.drop("html").join(cut(scores, "verdicts"), "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", by_method).alias("verdict"), "trust", "distrust"
