@@ -1,8 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicate removal, PII, mixing, and byte-level BPE, over ``documents``.
 
-STAGES = []
+Each stage works on all that the one before it kept, and is written before the next one reads it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkprep.llm import bpe, jaccard_join, langid, mixing, pii
+from sparkprep.llm.common import cut, table
+from sparkprep.llm.queries import RANKS, WEIGHTS
+
+#: Below this score the language is as good as unknown.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go (no letters, no text, a score near chance); a null lang is filled in."""
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    said = langid.predict(docs, model)
+    kept = said.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id; rows without an id all stay."""
+    groups = jaccard_join.join(docs)
+    first = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets."""
+    found = pii.find(docs, redact=True)
+    return found.withColumns({"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.take(docs, WEIGHTS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids (little-endian 32-bit integers), ids_sha256, decoded_sha256."""
+    path = public_tokenizers.path(RANKS)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], stable=True)
+    return bpe.digests(encoded, path, ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("jaccard_join", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mixture),
+    ("byte_bpe", tokens),
+]
+
+#: Trained models and learned patterns are beyond SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, name)
+    return docs

@@ -273,14 +273,14 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column decoded (binary) in place of token_ids; a null has no bytes."""
+    """``encoded`` with the column decoded (binary); null ids have no bytes."""
     ranks = read_ranks(path)
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, i in ranks.items():
         size[i] = len(token)
     known = {i: token for token, i in ranks.items()}
     table = encoded.sparkSession.sparkContext.broadcast((size, b"".join(known.get(i, b"") for i in range(len(size)))))
-    keep = [c for c in encoded.columns if c != "token_ids"]
+    keep = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, packed = table.value
@@ -297,8 +297,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ids_sha256 and decoded_sha256 in place of token_ids."""
-    return decode(encoded.withColumn("ids_sha256", F.sha2("token_ids", 256)), path).withColumn(
-        "decoded_sha256", F.sha2("decoded", 256)
-    ).drop("decoded")
+def digests(encoded: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """``encoded`` with ids_sha256 and decoded_sha256; token_ids go unless ``ids``."""
+    both = {"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return decode(encoded, path).withColumns(both).drop("decoded", *[] if ids else ["token_ids"])

@@ -99,15 +99,34 @@ def plan(sized: DataFrame, weights: list[int], share: float, cap: float) -> Data
     )
 
 
-def mix(
-    docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id"
-) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken."""
+def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with size (words) and hash."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(id_column, "source", size.alias("size"), hash_of(F.col(id_column)).alias("hash")), "sizes")
-    chosen = cut(plan(sized, weights, share, cap), "mix")
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
+    return docs.withColumns({"size": size, "hash": hash_of(F.col(id_column))})
+
+
+def chosen(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id", sizes: DataFrame | None = None) -> DataFrame:
+    """The columns of ``docs`` with size, source_size, target and copies: how often the mix takes the document.
+
+    sizes: (source, size, hash) of the same documents, to be read instead of their texts to find the thresholds.
+    """
+    if sizes is None:
+        sizes = cut(sized(docs, id_column).select("source", "size", "hash"), "sizes")
+    found = cut(plan(sizes, weights, share, cap), "mix").withColumnRenamed("source", "of")
+    rows = docs if "hash" in docs.columns else sized(docs, id_column)
     # Copies never exceed the cap: at the cap nothing is needed beyond whole copies.
-    return sized.join(chosen.withColumnRenamed("source", "of"), sized["source"].eqNullSafe(F.col("of"))).select(
-        id_column, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
+    return rows.join(found, rows["source"].eqNullSafe(F.col("of"))).withColumn("copies", copies).drop("hash", "below", "of")
+
+
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id") -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies, taken (words)."""
+    sizes = cut(sized(docs, id_column).select(id_column, "source", "size", "hash"), "sizes")
+    return chosen(sizes, weights, share, cap, id_column, sizes).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id") -> DataFrame:
+    """The mix itself: ``docs`` with each document as often as it is taken. Only the plan is joined; texts aren't shuffled."""
+    rows = chosen(docs, weights, share, cap, id_column)
+    often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return rows.filter("copies > 0").withColumn("again", often).select(*docs.columns)
