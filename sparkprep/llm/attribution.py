@@ -7,7 +7,8 @@ would not give. Documents don't meet, so nothing is shuffled, and a task holds a
 
 Parts are given as fields, which lie one after another with a separator that belongs to the field before it, or found as
 sections: a section ends after each ``separator``. Null fields are empty. A document without text has one section of
-nothing. Repeated rows are rows of their own. Empty tables give empty results.
+nothing. Repeated rows are rows of their own. The new columns replace any of
+their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ def section_bounds(text: bytes, separator: bytes) -> np.ndarray:
     return np.array([*out, len(text)])
 
 
+NEW = ("part", "n_bytes", "n_tokens", "n_crossing")
+
+
 def _count(ranks, pattern: str, text: str, keep: list[str], bounds_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
@@ -71,18 +75,19 @@ def _count(ranks, pattern: str, text: str, keep: list[str], bounds_of):
                 width.append(np.diff(bounds))
             taken = batch.select(keep).take(pa.array(np.concatenate(row)))
             new = [pa.array(np.concatenate(x).astype(np.int64)) for x in (part, width, tokens, crossing)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *new], [*keep, "part", "n_bytes", "n_tokens", "n_crossing"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, *new], [*keep, *NEW])
 
     return run
 
 
 def _schema(df: DataFrame, keep: list[str]) -> T.StructType:
-    return T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in ("part", "n_bytes", "n_tokens", "n_crossing"))])
+    return T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in NEW)])
 
 
 def section_tokens(docs: DataFrame, path: str, pattern: str, keep: list[str], separator: str = "\n") -> DataFrame:
     """A row for each section of each text: ``keep``, part (from 0), n_bytes, n_tokens, n_crossing."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    keep = [c for c in keep if c not in NEW]
     mark = separator.encode()
 
     def bounds_of(batch: pa.RecordBatch):
@@ -96,6 +101,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, keep: list[str], se
 def field_tokens(docs: DataFrame, fields: list[str], path: str, pattern: str, keep: list[str], separator: str = "\n") -> DataFrame:
     """A row for each of the string columns ``fields`` of each row, which are encoded as one text; columns as above."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    keep = [c for c in keep if c not in NEW]
     mark = separator.encode()
 
     def bounds_of(batch: pa.RecordBatch):

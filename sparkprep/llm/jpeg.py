@@ -399,7 +399,12 @@ def feature(found: list[np.ndarray] | None) -> str | None:
 
 
 def features(media: DataFrame, column: str) -> DataFrame:
-    """``media`` with pictures int and feature string for its binary column of JPEGs; null where it has none."""
+    """``media`` with pictures int and feature string for its binary column of JPEGs; null where it has none.
+
+    They replace any of their names.
+    """
+
+    media = media.drop("pictures", "feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, 4 << 20):

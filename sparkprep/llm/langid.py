@@ -160,8 +160,9 @@ def fit(labelled: DataFrame, train_rows: int = 6000) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, column: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the columns ``lang`` and ``score``."""
+    """``docs`` with the columns ``lang`` and ``score``, which replace any of their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(lang, score)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ Sizes are counted once and written to the shared folder (id, source, size and ha
 map-side combined, so a source that holds a third of all rows is no hot key; only its histogram meets in one task.
 
 Null text has size 0 and is never taken. A null source is the last one. Rows with equal ids share a hash and go together.
-A table without words gives targets of 0. Empty tables give empty results; other columns are ignored.
+A table without words gives targets of 0. Empty tables give empty results; other columns are ignored
+by ``mix`` and pass ``take``.
 """
 
 from __future__ import annotations
@@ -110,10 +111,10 @@ def chosen(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float =
 
     sizes: (source, size, hash) of the same documents, to be read instead of their texts to find the thresholds.
     """
-    if sizes is None:
-        sizes = cut(sized(docs, id_column).select("source", "size", "hash"), "sizes")
-    found = cut(plan(sizes, weights, share, cap), "mix").withColumnRenamed("source", "of")
-    rows = docs if "hash" in docs.columns else sized(docs, id_column)
+    counted = cut(sized(docs, id_column).select("source", "size", "hash"), "sizes") if sizes is None else sizes
+    found = cut(plan(counted, weights, share, cap), "mix").withColumnRenamed("source", "of")
+    rows = sized(docs, id_column) if sizes is None else docs
+    rows = rows.drop("source_size", "target", "copies", "below", "of")
     # Copies never exceed the cap: at the cap nothing is needed beyond whole copies.
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
     return rows.join(found, rows["source"].eqNullSafe(F.col("of"))).withColumn("copies", copies).drop("hash", "below", "of")
@@ -127,6 +128,6 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.
 
 def take(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, id_column: str = "doc_id") -> DataFrame:
     """The mix itself: ``docs`` with each document as often as it is taken. Only the plan is joined; texts aren't shuffled."""
-    rows = chosen(docs, weights, share, cap, id_column)
-    often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return rows.filter("copies > 0").withColumn("again", often).select(*docs.columns)
+    packed = docs.select(id_column, "source", "text", F.struct(*docs.columns).alias("row"))
+    rows = chosen(packed, weights, share, cap, id_column).filter("copies > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -274,9 +274,10 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def find(docs: DataFrame, accept: float = 0.8, redact: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns unless given) with the counts of base spans, base_sha256, spans (all), and redacted.
 
-    redacted is the text with each span replaced by its kind in brackets, null unless ``redact``.
+    The new columns replace any of their names. redacted is the text with each span replaced by its kind in brackets, null unless ``redact``.
     """
-    keep = docs.columns if keep is None else keep
+    new = [c.split()[0] for c in FOUND.split(", ")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     confidence = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +287,11 @@ def find(docs: DataFrame, accept: float = 0.8, redact: bool = False, keep: list[
                 base = base_spans(text or "")
                 spans = base + more_spans(text or "", base, confidence.value, accept)
                 counts = [sum(s[2] == k for s in base) for k in range(4)]
-                new = redacted(text, spans) if redact and text is not None else None
-                rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), new))
+                clean = redacted(text, spans) if redact and text is not None else None
+                rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), clean))
             kinds = (*(pa.int64(),) * 4, *(pa.string(),) * 3)
             found = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *(c.split()[0] for c in FOUND.split(", "))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *new])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(FOUND).fields])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

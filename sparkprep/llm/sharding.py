@@ -53,8 +53,12 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS, name: str
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``df`` with the columns slot, shard, and shard_without_last: where a row goes once the last shard is gone."""
+    """``df`` with the columns slot, shard, and shard_without_last: where a row goes once the last shard is gone.
+
+    They replace any of their names.
+    """
     spark = df.sparkSession
+    df = df.drop(*({"slot", "shard", "shard_without_last"} - {key}))
     placed = df.withColumn("slot", F.when(F.col(key).isNull(), F.lit(0)).otherwise(slot_of(F.col(key), slots)))
     placed = placed.join(F.broadcast(lookup(spark, shards, slots)), "slot", "left")
     if len(shards) > 1:
