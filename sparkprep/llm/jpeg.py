@@ -410,7 +410,7 @@ def features(media: DataFrame, column: str) -> DataFrame:
         for batch in slices(batches, column, 4 << 20):
             found = thumbnails([x or b"" for x in batch.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x and len(x) for x in found], pa.int32()), pa.array([feature(x or None) for x in found], pa.string())],
+                [*batch.columns, pa.array([len(x) if x else None for x in found], pa.int32()), pa.array([feature(x or None) for x in found], pa.string())],
                 [*batch.schema.names, "pictures", "feature"],
             )
 
