@@ -11,8 +11,9 @@ Relations between sets let the join skip most of its work:
   comes before its edited copies, whose new shingles are rare). What links to the leader is one component, whose members
   need no comparison with each other: their answers follow from the leader's.
 * Then lists that still hold several components are walked through in blocks of equal size, ordered by position. Sizes out of
-  range, blocks whose position leaves too little overlap, and sets of the same component are skipped; a parity bitmap of
-  128 bits, which bounds the symmetric difference from below, drops most of the rest before its shingles are compared.
+  range, blocks whose position leaves too little overlap, and sets of the same component are skipped. Maps of the parity of
+  hashes bound the symmetric difference from below: one of 128 bits in the lists, then one of about as many bits as the set
+  has shingles drop nearly all other pairs before whole sets are compared.
 
 Every skipped pair either is in one component already or cannot link, so components are exact. Pairs are verified on whole
 sets of 64-bit shingle hashes.
@@ -47,6 +48,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """For each value of the leading bits of a hash, whether an odd number of the set's shingles has it."""
+    at = (s >> U64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer map is folded to the shorter one's leading bits."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(size, -1), axis=1) for v in (a, b))
+    return int((a ^ b).sum())
+
+
 def _repeated(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -85,7 +100,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-SETS = "doc_id long, n int, h1 long, h2 long, b0 long, b1 long, prefix array<long>"
+SETS = "doc_id long, n int, h1 long, h2 long, b0 long, b1 long, parity binary, prefix array<long>"
 
 
 def _sets(k: int, percent: int, hot):
@@ -98,7 +113,7 @@ def _sets(k: int, percent: int, hot):
                 n = len(s)
                 if not n:
                     prefixes.append(s.view(np.int64))
-                    rows.append((0, None, None, 0, 0))
+                    rows.append((0, None, None, 0, 0, b""))
                     continue
                 rank = np.zeros(n, np.int64)
                 if len(token):
@@ -106,20 +121,19 @@ def _sets(k: int, percent: int, hot):
                     rank = np.where(token[at] == s, often[at], 0)
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(n, percent)]].view(np.int64))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                bits = np.bincount((s >> U64(57)).astype(np.int64), minlength=128) & 1
-                b = np.packbits(bits.astype(np.uint8)).view(">i8")
-                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *b.tolist()))
+                short = np.frombuffer(parity(s, 128), ">i8")
+                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *short.tolist(), parity(s, max(8, 1 << n.bit_length() - 1))))
             n, *rest = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefixes])), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in rest), lists],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in rest[:-1]), pa.array(rest[-1], pa.binary()), lists],
                 [c.split()[0] for c in SETS.split(", ")],
             )
 
     return run
 
 
-POSTINGS = "token long, id long, n int, pos int, b0 long, b1 long"
+POSTINGS = "token long, id long, n int, pos int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +231,27 @@ def _full(k: int):
     return run
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose sets link."""
+def _close(percent: int):
+    """Pairs whose parity maps leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_pylist() for c in ("n", "m"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            keep = [apart(p, q) <= i + j - 2 * -(-percent * (i + j) // (100 + percent)) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` whose whole sets link; only documents in a pair that their parity maps admit are made into sets."""
+    one = nodes.select(F.col("id").alias("a"), "n", F.col("parity").alias("x"))
+    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    pairs = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_close(percent), "a long, b long"), "close-pairs")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "h1"), "id"), "in-pairs")
+    text = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+    full = cut(text.mapInArrow(_full(k), "id long, full array<long>"), "full-sets")
     one = full.select(F.col("id").alias("a"), F.col("full").alias("x"))
     two = full.select(F.col("id").alias("b"), F.col("full").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -233,14 +266,13 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     hot = spark.sparkContext.broadcast(frequent(docs, k))
     sets = cut(docs.mapInArrow(_sets(k, percent, hot), SETS), "sets")
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "b0", "b1", "prefix")).alias("s"))
-    nodes = nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.b0", "s.b1", "s.prefix")
-    nodes = cut(nodes, "nodes")
+    by_set = known.groupBy("h1", "h2")
+    nodes = by_set.agg(F.min(F.struct("doc_id", "n", "b0", "b1", "parity")).alias("s"))
+    nodes = cut(nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.b0", "s.b1", "s.parity"), "nodes")
 
-    index = nodes.select("id", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "pos", "b0", "b1")
-    lists = cut(index.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_lists, POSTINGS), "lists")
-    within = lists.select("id").distinct().join(nodes.select("id", "h1"), "id")
-    full = cut(docs.withColumnRenamed("doc_id", "id").join(within, "id").mapInArrow(_full(k), "id long, full array<long>"), "full-sets")
+    index = by_set.agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s")).select(F.col("s.doc_id").alias("id"), "s.n", F.posexplode("s.prefix").alias("pos", "token"))
+    index = index.select("token", "id", "n", "pos").repartition(parts, "token").sortWithinPartitions("token")
+    lists = cut(index.mapInArrow(_lists, POSTINGS).join(nodes.select("id", "b0", "b1"), "id"), "lists")
 
     # Each set against the leader of each of its lists.
     leader = lists.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "b0", "b1")).alias("l"))
@@ -252,7 +284,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     met = met.filter(apart <= small + large - 2 * need)
     pairs = met.select(F.least("id", F.col("l.id")).alias("a"), F.greatest("id", F.col("l.id")).alias("b")).distinct()
     pairs = cut(pairs, "pairs")
-    first = cut(components(_links(pairs, full, percent)), "components")
+    first = cut(components(_links(pairs, docs, nodes, k, percent)), "components")
 
     # What is left between components.
     labelled = lists.join(first, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -260,7 +292,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
     rest = labelled.join(mixed, "token").repartition(parts, "token").sortWithinPartitions("token")
     more = rest.select("token", "id", "n", "pos", "b0", "b1", "label").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = _links(more.join(pairs, ["a", "b"], "left_anti"), full, percent)
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = _links(more, docs, nodes, k, percent)
     label = first.select("id", "component")
     more = (
         more.join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
