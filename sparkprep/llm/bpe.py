@@ -18,6 +18,7 @@ Null or empty text has no ids. Repeated rows are rows of their own. Other column
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, shuffle_partitions
-from .textnum import U64, mix, ranges, slices, span_hashes, view
+from .textnum import U64, ranges, slices, span_hashes, view
 
-BLOCK, BUCKETS = 4 << 20, 4
+BLOCK, PART, BUCKETS = 4 << 20, 1 << 20, 4
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
 _CLASSES: list[np.ndarray] = []
 #: The endings that the pattern splits off after an apostrophe.
@@ -101,20 +102,38 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(start[:n])]
 
 
+def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``PART`` bytes, or of one text."""
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def _split(batch: pa.RecordBatch, column: str):
-    """(bytes, offsets, starts, ends, distinct hashes, first token of each, distinct word of each token)."""
+    """(bytes, offsets, starts, ends, distinct hashes, first token of each, distinct word of each token).
+
+    Bytes are handled ``PART`` at a time, as that takes many times their memory.
+    """
     data, offsets = view(batch.column(column))
-    starts = pre_tokens(data, offsets)
-    ends = np.append(starts[1:], len(data))
-    distinct, where, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    return data, offsets, starts, ends, distinct, where, which
+    starts, hashes = [], []
+    for at, to in _parts(offsets):
+        part = data[offsets[at] : offsets[to]]
+        own = pre_tokens(part, offsets[at : to + 1] - offsets[at])
+        starts.append(own + offsets[at])
+        hashes.append(span_hashes(part, own, np.append(own[1:], len(part))))
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    distinct, where, which = np.unique(np.concatenate([np.zeros(0, U64), *hashes]), return_index=True, return_inverse=True)
+    return data, offsets, starts, np.append(starts[1:], len(data)), distinct, where, which
 
 
 def _block_id(batch: pa.RecordBatch, column: str, seq: int) -> int:
     data, offsets = view(batch.column(column))
-    whole = span_hashes(data, np.array([0]), np.array([len(data)]))
-    place = U64((TaskContext.get().partitionId() << 32) + seq)
-    return int(mix(mix(whole ^ place) + U64(len(offsets))).view(np.int64)[0])
+    place = f"{TaskContext.get().partitionId()}/{seq}/{len(offsets)}/".encode()
+    digest = hashlib.blake2b(place, digest_size=8)
+    digest.update(data)
+    return int.from_bytes(digest.digest(), "big", signed=True)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -143,6 +162,7 @@ def _ask(column: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, batch in enumerate(slices(batches, column, BLOCK)):
             block = _block_id(batch, column, seq)
+            press = zstandard.ZstdCompressor(level=3)
             data, _, starts, ends, distinct, where, _ = _split(batch, column)
             order, names, begin, end = _bucketed(distinct, buckets)
             where = where[order]
@@ -155,7 +175,7 @@ def _ask(column: str, buckets: int):
                     pa.array(np.full(len(names), block), pa.int64()),
                     pa.array(end - begin, pa.int32()),
                     pa.array([_narrow(lengths[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()),
-                    pa.array([packed[upto[a] : upto[b]] for a, b in zip(begin, end, strict=True)], pa.binary()),
+                    pa.array([press.compress(packed[upto[a] : upto[b]]) for a, b in zip(begin, end, strict=True)], pa.binary()),
                 ],
                 ["bucket", "block", "n", "lengths", "words"],
             )
@@ -182,7 +202,8 @@ def _answer(ranks, pattern: str):
         for rows in _groups(batches, "bucket"):
             n = np.array([r["n"] for r in rows])
             lengths = np.concatenate([_widen(r["lengths"], r["n"]) for r in rows])
-            packed = b"".join(r["words"] for r in rows)
+            open_ = zstandard.ZstdDecompressor()
+            packed = b"".join(open_.decompress(r["words"]) for r in rows)
             ends = np.cumsum(lengths)
             _, where, which = np.unique(span_hashes(np.frombuffer(packed, np.uint8), ends - lengths, ends), return_index=True, return_inverse=True)
             # Each distinct word is encoded once.
@@ -207,7 +228,7 @@ def _carry(column: str):
     """A block's rows, compressed, as bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         for seq, batch in enumerate(slices(batches, column, BLOCK)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -243,21 +264,28 @@ def _place(column: str, keep: list[str], buckets: int):
             place[order] = np.arange(len(order))
             at = np.cumsum(size) - size
             own = place[which]
-            ids = flat[ranges(at[own], size[own])].astype("<u4")
-            per_token = np.append(0, np.cumsum(size[own]))
-            bound = per_token[np.searchsorted(starts, offsets)]
-            stored = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * bound).astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(np.diff(bound), pa.int64()), stored], [*keep, "n_tokens", "token_ids"]
-            )
+            first = np.searchsorted(starts, offsets)  # token of each text
+            for a, b in _parts(offsets):
+                some = own[first[a] : first[b]]
+                ids = flat[ranges(at[some], size[some])].astype("<u4")
+                bound = np.append(0, np.cumsum(size[some]))[first[a : b + 1] - first[a]]
+                stored = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((4 * bound).astype(np.int32)), pa.py_buffer(ids)])
+                rest = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [*(rest.column(c) for c in keep), pa.array(np.diff(bound), pa.int64()), stored], [*keep, "n_tokens", "token_ids"]
+                )
 
     return run
 
 
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep: list[str] | None = None, stable: bool = False) -> DataFrame:
-    """The columns ``keep`` (all but the text unless given) with n_tokens and token_ids, little-endian 32-bit integers."""
+    """The columns ``keep`` (all but the text unless given) with n_tokens and token_ids, little-endian 32-bit integers.
+
+    The new columns replace any of their names.
+    """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != column] if keep is None else keep
+    keep = [c for c in keep if c not in ("n_tokens", "token_ids")]
     docs = docs.select(*dict.fromkeys([*keep, column]))
     docs = docs if stable else cut(docs, "to-encode")
     ranks = spark.sparkContext.broadcast(read_ranks(path))
@@ -280,6 +308,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         size[i] = len(token)
     known = {i: token for token, i in ranks.items()}
     table = encoded.sparkSession.sparkContext.broadcast((size, b"".join(known.get(i, b"") for i in range(len(size)))))
+    encoded = encoded.drop("decoded")
     keep = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
