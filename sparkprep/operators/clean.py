@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidMethodError, InvalidStrategyError, ValidationError
 from ..functions import strings
-from ..plans.fused import aggregate, distinct_counts
-from ..schema import get_string_columns, is_numeric, kind, number, quoted, validate_columns, validate_numeric_columns
+from ..plans.fused import aggregate, bucket_count, bucket_of, distinct_counts, quantile_bounds
+from ..schema import get_string_columns, is_numeric, is_time, kind, number, quoted, validate_columns, validate_numeric_columns
 from .base import FeatureEngineeringBase
 from .profile import DataAnalyzer
 
@@ -104,30 +104,22 @@ class DataPreprocessor(FeatureEngineeringBase):
         elif strategy == "interpolate":
             out = self._interpolated(names, method, order_by)
         else:
-            w = self._window(order_by)
-            if strategy == "forward_fill":
-                w = w.rowsBetween(Window.unboundedPreceding, 0)
-                out = df.withColumns({c: F.last(quoted(c), True).over(w) for c in names})
-            else:
-                w = w.rowsBetween(0, Window.unboundedFollowing)
-                out = df.withColumns({c: F.first(quoted(c), True).over(w) for c in names})
+            sides = self._neighbours(names, order_by)
+            side = "before" if strategy == "forward_fill" else "after"
+            out = sides.withColumns({c: F.col(f"_{side}{i}") for i, c in enumerate(names)}).select(*map(quoted, df.columns))
         return self._logged("handle_missing_values", {"strategy": strategy, "columns": names}, out, inplace)
 
     def _interpolated(self, names: list[str], method: str, order_by) -> DataFrame:
         """By position, not by the distance of keys; leading nulls stay, trailing ones take the last value."""
         if method not in FILLS:
             raise InvalidMethodError(method, FILLS)
-        df, w = self.df, self._window(order_by)
+        df = self.df
         names = [c for c in names if is_numeric(kind(df, c))]
-        before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        rows = df.withColumn("_at", F.row_number().over(w))
-        for i, c in enumerate(names):
-            x = number(df, c)
-            place = F.when(x.isNotNull(), F.col("_at"))
-            rows = rows.withColumns({f"_v{i}": F.last(x, True).over(before), f"_n{i}": F.first(x, True).over(after), f"_p{i}": F.last(place, True).over(before), f"_q{i}": F.first(place, True).over(after)})
+        rows = self._neighbours(names, order_by)
         new = {}
         for i, c in enumerate(names):
-            v, nxt, p, q, at = F.col(f"_v{i}"), F.col(f"_n{i}"), F.col(f"_p{i}"), F.col(f"_q{i}"), F.col("_at")
+            v, nxt = F.col(f"_before{i}").cast("double"), F.col(f"_after{i}").cast("double")
+            p, q, at = F.col(f"_before_at{i}"), F.col(f"_after_at{i}"), F.col("_at")
             if method == "linear":
                 between = v + (nxt - v) * (at - p) / (q - p)
             elif method == "nearest":
@@ -137,6 +129,47 @@ class DataPreprocessor(FeatureEngineeringBase):
             new[c] = F.when(number(df, c).isNotNull(), number(df, c)).when(q.isNull(), v).when(v.isNotNull(), between)
         return rows.withColumns(new).select(*map(quoted, df.columns))
 
+    def _neighbours(self, names: list[str], order_by) -> DataFrame:
+        """The frame with _at (the row's place) and, for each column i, _before{i}, _after{i}: the values at or next to the row,
+        and where they are.
+
+        Rows are dealt to ranges of the first order column by approximate quantiles, and each range is a window of its own; what
+        carries over from one range to the next is a row for each range. So no task sees all rows, unless the column is text.
+        """
+        df, order = self.df, self._ordered(order_by)
+        first = ([order_by] if isinstance(order_by, str) else list(order_by or self.order_by))[0]
+        key, t = quoted(first), kind(df, first)
+        if is_numeric(t) or is_time(t):
+            bounds = quantile_bounds(df, key, bucket_count(self.spark))
+            bucket = F.when(key.isNull(), len(bounds) + 1).otherwise(bucket_of(key, bounds))
+        else:
+            log.warning("rows ordered by %r, which is no number or time, are handled in one task", first)
+            bucket = F.lit(0)
+        w = Window.partitionBy("_bucket").orderBy(*order)
+        rows = df.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(w))
+        before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        pairs = [F.when(quoted(c).isNotNull(), F.struct(F.col("_row").alias("r"), quoted(c).alias("v"))) for c in names]
+        sums = rows.groupBy("_bucket").agg(
+            F.count("*").alias("_n"),
+            *(F.max_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_last{i}") for i, p in enumerate(pairs)),
+            *(F.min_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_first{i}") for i, p in enumerate(pairs)),
+        )
+        by = Window.orderBy("_bucket")  # a row for each range
+        above, below = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+        sums = sums.withColumn("_start", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+        ends = {f"_{k}{i}": F.when(F.col(f"_{k}{i}").isNotNull(), F.struct((F.col(f"_{k}{i}.r") + F.col("_start")).alias("r"), F.col(f"_{k}{i}.v").alias("v"))) for k in ("last", "first") for i in range(len(names))}
+        sums = sums.withColumns(ends)
+        carried = {f"_c{i}": F.last(f"_last{i}", True).over(above) for i in range(len(names))} | {f"_d{i}": F.first(f"_first{i}", True).over(below) for i in range(len(names))}
+        sums = sums.select("_bucket", "_start", *(v.alias(k) for k, v in carried.items()))
+        rows = rows.withColumns({f"_b{i}": F.last(p, True).over(before) for i, p in enumerate(pairs)} | {f"_a{i}": F.first(p, True).over(after) for i, p in enumerate(pairs)})
+        rows = rows.join(F.broadcast(sums), "_bucket").withColumn("_at", F.col("_row") + F.col("_start"))  # 258 ranges at most
+        new = {}
+        for i in range(len(names)):
+            for name, own, far in (("before", f"_b{i}", f"_c{i}"), ("after", f"_a{i}", f"_d{i}")):
+                new[f"_{name}{i}"] = F.coalesce(F.col(f"{own}.v"), F.col(f"{far}.v"))
+                new[f"_{name}_at{i}"] = F.coalesce(F.col(f"{own}.r") + F.col("_start"), F.col(f"{far}.r"))
+        return rows.withColumns(new)
+
     def create_missing_indicators(self, columns: list[str], suffix: str = "_was_missing", inplace: bool = False):
         names = validate_columns(self.df, columns)
         out = self.df.withColumns({c + suffix: quoted(c).isNull().cast("int") for c in names})
@@ -150,18 +183,22 @@ class DataPreprocessor(FeatureEngineeringBase):
             raise ValueError("keep is 'first', 'last' or False")
         df = self.df
         names = (validate_columns(df, subset) if subset else []) or df.columns
-        by = Window.partitionBy(*map(quoted, names))
+        # Aggregates, which tasks combine before the shuffle, rather than windows: a hot key is a row of each task.
+        whole = F.struct(*map(quoted, df.columns))
+        groups = df.groupBy(*(quoted(c).alias(f"_g{i}") for i, c in enumerate(names)))
+        order = [order_by] if isinstance(order_by, str) else order_by or self.order_by
         if keep is False:
-            out = df.withColumn("_n", F.count("*").over(by)).filter("_n = 1").drop("_n")
-        elif not (order_by or self.order_by):
+            out = groups.agg(F.first(whole).alias("_row"), F.count("*").alias("_n")).filter("_n = 1").select("_row.*")
+        elif not order:
             if keep == "last":
                 self._ordered(order_by)
             out = df.dropDuplicates(names)
+        elif keep == "first":
+            place = F.struct(*(x for c in order for x in (quoted(c).isNull(), quoted(c))))
+            out = groups.agg(F.min_by(whole, place).alias("_row")).select("_row.*")
         else:
-            order = self._ordered(order_by)
-            if keep == "last":
-                order = [quoted(c).desc_nulls_last() for c in ([order_by] if isinstance(order_by, str) else order_by or self.order_by)]
-            out = df.withColumn("_n", F.row_number().over(by.orderBy(*order))).filter("_n = 1").drop("_n")
+            place = F.struct(*(x for c in order for x in (quoted(c).isNotNull(), quoted(c))))
+            out = groups.agg(F.max_by(whole, place).alias("_row")).select("_row.*")
         return self._logged("remove_duplicates", {"subset": subset, "keep": keep}, out, inplace)
 
     def filter_rows(self, condition, inplace: bool = False):

@@ -120,14 +120,16 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
 
     # -- statistics by class
 
-    def analyze_class_wise_statistics(self, feature_columns: list[str] | None = None, confidence_level: float = 0.95, include_ci: bool = False) -> DataFrame:
+    def analyze_class_wise_statistics(self, feature_columns: list[str] | None = None, confidence_level: float = 0.95, include_ci: bool = False, approximate: bool = False) -> DataFrame:
         """(feature, class, count, mean, median, std, min, max) of all features in one groupBy; lazy without intervals.
 
+        approximate: medians by bounded sketches.
+
         include_ci adds t intervals of the mean, and percentile bootstrap intervals of the median.
         """
         names = self._numeric_features(feature_columns)
         x = {c: number(self.df, c) for c in names}
-        stats = {"count": F.count, "mean": F.avg, "median": lambda v: F.percentile(v, 0.5), "std": F.stddev_samp, "min": F.min, "max": F.max}
+        stats = {"count": F.count, "mean": F.avg, "median": lambda v: F.percentile_approx(v, 0.5, 10_000) if approximate else F.percentile(v, 0.5), "std": F.stddev_samp, "min": F.min, "max": F.max}
         wide = self.df.filter(self._y.isNotNull()).groupBy(self._y.cast("string").alias("class"))
         wide = wide.agg(*(F.struct(*(f(x[c]).alias(k) for k, f in stats.items())).alias(f"s{i}") for i, c in enumerate(names)))
         rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s")) for i, c in enumerate(names)))

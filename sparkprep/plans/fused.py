@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,16 +89,37 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     return {c: 0 for c in columns} | {r["name"]: r["n"] for r in rows}
 
 
-def ranks(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+def bucket_of(c: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below the value, as a tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """As many ranges as shuffle partitions, as far as one expression holds them."""
+    return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def quantile_bounds(df: DataFrame, c: Column, buckets: int) -> list:
+    got = df.agg(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0]
+    return sorted(set(got or []))
+
+
+def ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, n, rank) of each different value: the average rank of its rows among all that aren't null.
 
     Values are dealt to ranges by approximate quantiles, and ranked within each; so no task sees all of them.
     """
     x = number(df, column)
     counts = df.select(x.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-    bounds = df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    bucket = reduce(lambda a, b: a + b, ((F.col("value") > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
-    counts = counts.withColumn("bucket", bucket)
+    bounds = quantile_bounds(df, x, bucket_count(df.sparkSession))
+    counts = counts.withColumn("bucket", bucket_of(F.col("value"), bounds))
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("m"))
     below = sums.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("below"))  # a row for each bucket
     upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("value"))
