@@ -33,6 +33,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` wrote; for when no frame that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package however the driver found it; clusters use --py-files."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)

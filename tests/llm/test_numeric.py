@@ -1,6 +1,7 @@
 """Parts that need no Spark, against brute force."""
 
 import base64
+import hashlib
 import random
 import re
 import zlib
@@ -233,6 +234,18 @@ def test_lookup_table_is_even_and_stable():
         sharding.fill(names, 1000)
 
 
+@pytest.mark.parametrize(("n", "slots"), [(1, 2), (3, 7), (5, 13), (7, 101)])
+def test_lookup_table_against_whole_permutations(n, slots):
+    names = [f"node {i}" for i in range(n)]
+    number = lambda s: int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "big")
+    wishes = [[(number(f"{s}/offset") % slots + j * (number(f"{s}/skip") % (slots - 1) + 1)) % slots for j in range(slots)] for s in names]
+    assert all(sorted(w) == list(range(slots)) for w in wishes)
+    owner = {}
+    for turn in range(slots):
+        owner[next(s for s in wishes[turn % n] if s not in owner)] = turn % n
+    assert sharding.fill(names, slots).tolist() == [owner[i] for i in range(slots)]
+
+
 def test_ranks_are_read():
     path = P.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:

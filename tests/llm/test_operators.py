@@ -62,6 +62,19 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_scratch_tables_can_be_cleared(spark, tmp_path):
+    from sparkprep.llm import common
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert common.cut(spark.range(3), "x").count() == 3 and (tmp_path / "tables").exists()
+        common.clear(spark)
+        assert not (tmp_path / "tables").exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_imatch(docs, rows, empty):
     got = {r["doc_id"]: r for r in imatch.edited_neighbours(docs).collect()}
     assert len(got) == len(rows)
