@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,12 +18,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs in one process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="sparkprep-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkprep-"))
+        where = sc.getCheckpointDir()
     return where
 
 

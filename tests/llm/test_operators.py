@@ -1,18 +1,22 @@
 """The operators on small frames, with nulls, ties, repeated rows, clashing columns and no rows, against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
-from sparkprep.llm import attribution, bpe, imatch, jaccard_join, jpeg, langid, mixing, pii, sharding, urlgraph
+from sparkprep.llm import attribution, bpe, common, imatch, jaccard_join, jpeg, langid, mixing, pii, sharding, urlgraph
 from sparkprep.llm.common import importable
 from sparkprep.llm.components import components
 from sparkprep.llm.queries import RULES, SHARDS, WEIGHTS
@@ -62,17 +66,25 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_scratch_tables_can_be_cleared(spark, tmp_path):
-    from sparkprep.llm import common
-
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert common.cut(spark.range(3), "x").count() == 3 and (tmp_path / "tables").exists()
-        common.clear(spark)
-        assert not (tmp_path / "tables").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    assert common.cut(spark.range(3), "x").count() == 3 and (tmp_path / "tables").exists()
+    common.clear(spark)
+    assert not (tmp_path / "tables").exists()
+
+
+def test_scratch_folder_without_a_setting(tmp_path):
+    """A session of its own, as this one's setting can't be changed."""
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(common.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from sparkprep.llm import common, queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert common.shared_dir(spark) == common.shared_dir(spark)
+print("rows", queries.op8_mixing(spark, "/root/testdata/sf0.001").count(), queries.op7_language_id(spark, "/root/testdata/sf0.001").count())
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=600)
+    assert "rows 200 200" in got.stdout, got.stderr[-2000:]
 
 
 def test_imatch(docs, rows, empty):
