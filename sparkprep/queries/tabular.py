@@ -335,7 +335,12 @@ def reset_index(spark, sf):
 
 @query("csv_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, sf):
-    path = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(), f"nation-{os.urandom(8).hex()}")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp()
+    path = f"{folder}/nation-{os.urandom(8).hex()}"
     write_csv(load(spark, sf, "nation"), path)
     return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
