@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,14 +112,14 @@ def quantile_bounds(df: DataFrame, c: Column, buckets: int) -> list:
     return sorted(set(got or []))
 
 
-def ranks(df: DataFrame, column: str) -> DataFrame:
+def ranks(df: DataFrame, column: str, bounds: list | None = None) -> DataFrame:
     """(value, n, rank) of each different value: the average rank of its rows among all that aren't null.
 
-    Values are dealt to ranges by approximate quantiles, and ranked within each; so no task sees all of them.
+    Values are dealt to ranges by approximate quantiles (or the given bounds), and ranked within each; so no task sees all.
     """
     x = number(df, column)
     counts = df.select(x.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-    bounds = quantile_bounds(df, x, bucket_count(df.sparkSession))
+    bounds = quantile_bounds(df, x, bucket_count(df.sparkSession)) if bounds is None else bounds
     counts = counts.withColumn("bucket", bucket_of(F.col("value"), bounds))
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("m"))
     below = sums.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("below"))  # a row for each bucket
@@ -151,25 +152,45 @@ def pearsons(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str
     return out
 
 
+PAIRS_AT_ONCE = 12
+
+
 def spearmans(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[float | None, int]]:
-    """Pearson's r of the ranks among the rows that have both, weighted by how often a pair of values occurs."""
+    """Pearson's r of the ranks among the rows that have both, weighted by how often a pair of values occurs.
+
+    One job finds the ranges of all columns, and one the sums of ``PAIRS_AT_ONCE`` pairs.
+    """
+    names = sorted({c for p in pairs for c in p})
+    buckets = bucket_count(df.sparkSession)
+    shares = [i / buckets for i in range(1, buckets)]
+    got = aggregate(df, {(c,): F.percentile_approx(number(df, c), shares, 100 * buckets) for c in names}) if names else {}
+    bounds = {c: sorted(set(got[c,] or [])) for c in names}
     out = {}
-    for a, b in pairs:
-        rows = df.select(number(df, a).alias("x"), number(df, b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-        cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-        rx = ranks(rows, "x").select(F.col("value").alias("x"), F.col("rank").alias("rx"))
-        ry = ranks(rows, "y").select(F.col("value").alias("y"), F.col("rank").alias("ry"))
-        s = lambda e: F.sum(F.col("n") * e)
-        x, y = F.col("rx"), F.col("ry")
-        m = cells.join(rx, "x").join(ry, "y").agg(F.sum("n"), s(x), s(y), s(x * x), s(y * y), s(x * y)).first()
-        n = m[0] or 0
-        if not n:
-            out[a, b] = None, 0
-            continue
-        vx, vy = m[3] / n - (m[1] / n) ** 2, m[4] / n - (m[2] / n) ** 2
-        constant = vx <= 1e-12 * max(1, m[3] / n) or vy <= 1e-12 * max(1, m[4] / n)
-        out[a, b] = (None if constant else max(-1.0, min(1.0, (m[5] / n - m[1] * m[2] / n / n) / (vx * vy) ** 0.5))), n
-    return out
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        sums = [_rank_sums(df, a, b, bounds).withColumn("pair", F.lit(at + i)) for i, (a, b) in enumerate(pairs[at : at + PAIRS_AT_ONCE])]
+        for r in reduce(DataFrame.unionAll, sums).collect():
+            out[pairs[r["pair"]]] = _from_sums(r)
+    return {p: out[p] for p in pairs}
+
+
+def _rank_sums(df: DataFrame, a: str, b: str, bounds: dict[str, list]) -> DataFrame:
+    rows = df.select(number(df, a).alias("x"), number(df, b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
+    rx = ranks(rows, "x", bounds[a]).select(F.col("value").alias("x"), F.col("rank").alias("rx"))
+    ry = ranks(rows, "y", bounds[b]).select(F.col("value").alias("y"), F.col("rank").alias("ry"))
+    s = lambda e: F.sum(F.col("n") * e)
+    x, y = F.col("rx"), F.col("ry")
+    return cells.join(rx, "x").join(ry, "y").agg(F.sum("n").alias("n"), s(x).alias("x"), s(y).alias("y"), s(x * x).alias("xx"), s(y * y).alias("yy"), s(x * y).alias("xy"))
+
+
+def _from_sums(m) -> tuple[float | None, int]:
+    n = m["n"] or 0
+    if not n:
+        return None, 0
+    vx, vy = m["xx"] / n - (m["x"] / n) ** 2, m["yy"] / n - (m["y"] / n) ** 2
+    if vx <= 1e-12 * max(1, m["xx"] / n) or vy <= 1e-12 * max(1, m["yy"] / n):
+        return None, n
+    return max(-1.0, min(1.0, (m["xy"] / n - m["x"] * m["y"] / n / n) / (vx * vy) ** 0.5)), n
 
 
 KENDALL_CELLS = 2_000_000
