@@ -21,8 +21,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -110,13 +110,17 @@ def edited(text: str, other: str) -> str:
 
 def _chained(lex: np.ndarray):
     """Rows come by (part, doc_id descending); only_next rows end a part."""
+    opened = zstandard.ZstdDecompressor
+
+    def unpacked(t: bytes) -> str:
+        return opened().decompress(t).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # of the row that waits for its next one: (part, id, text, code)
-        for batch in slices(batches):
+        for batch in slices(batches, "packed", 1 << 20):
             part, ids, only = (batch.column(c).to_pylist() for c in ("part", "doc_id", "only_next"))
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            code = [codes(t, lex) for t in terms(batch.column("text"))]
+            texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
+            code = [codes(t, lex) for t in terms(pa.array(texts, pa.string()))]
             waiting, rows, new = before, [], []
             for p, i, o, t, c in zip(part, ids, only, texts, code, strict=True):
                 if waiting is not None and waiting[0] == p:
@@ -142,6 +146,7 @@ def _chained(lex: np.ndarray):
     return run
 
 
+DEALT = "doc_id long, packed binary, tie long, part int, only_next boolean"
 CHAINED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -159,7 +164,7 @@ def fingerprints(docs: DataFrame, rare: float = 0.0005, common: float = 0.05) ->
 def edited_neighbours(docs: DataFrame, rare: float = 0.0005, common: float = 0.05) -> DataFrame:
     """Fingerprints of every text, its edited text and their likenesses (``CHAINED``); ``docs`` has doc_id and text.
 
-    The next text is that of the next lower doc_id; after the last comes the first. Texts are dealt once, by ranges of
+    The next text is that of the next lower doc_id; after the last comes the first. Texts are dealt once, compressed, by ranges of
     doc_id whose bounds are ids that occur; the row of a bound goes to the range below it as well, as the text next to that
     range's last. Rows with equal ids stay together, in the order of their texts; null ids are the lowest.
     """
@@ -176,17 +181,28 @@ def edited_neighbours(docs: DataFrame, rare: float = 0.0005, common: float = 0.0
     bounds = [b for b in bounds if b != top]
     edges = np.array(bounds, np.int64)
 
-    @pandas_udf("array<int>")
-    def parts_of(ids):
-        x = ids.to_numpy()
-        own = np.searchsorted(edges, x, "left")
-        extra = (own < len(edges)) & (edges[np.minimum(own, len(edges) - 1)] == x) if len(edges) else np.zeros(len(x), bool)
-        # A bound's row serves the range above it as next; the first row of all serves the lowest range.
-        return pd.Series([[o, ~(o + 1)] if e else [o, ~0] if t else [o] for o, e, t in zip(own.tolist(), extra.tolist(), (x == top).tolist(), strict=True)])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.explode(parts_of(key)).alias("p"))
-    rows = rows.select("doc_id", "text", F.when(F.col("p") < 0, -F.col("p") - 1).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("only_next"))
-    dealt = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(
-        "part", "only_next", F.col("doc_id").desc_nulls_last(), F.md5(F.coalesce("text", F.lit("")))
-    )
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            ids = batch.column("doc_id").fill_null(lowest).to_numpy()
+            part = np.searchsorted(edges, ids, "left")
+            # A bound's row serves the range above it as next; the first row of all serves the lowest range.
+            bound = edges[np.minimum(part, len(edges) - 1)] == ids if len(edges) else np.zeros(len(ids), bool)
+            extra = np.flatnonzero(bound | (ids == top))
+            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            tie = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big", signed=True) for t in raw]
+            rows = np.append(np.arange(len(ids)), extra)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(rows)),
+                    pa.array([press.compress(t) for t in raw], pa.binary()).take(pa.array(rows)),
+                    pa.array(tie, pa.int64()).take(pa.array(rows)),
+                    pa.array(np.append(part, np.where(bound[extra], part[extra] + 1, 0)), pa.int32()),
+                    pa.array(np.arange(len(rows)) >= len(ids)),
+                ],
+                [c.split()[0] for c in DEALT.split(", ")],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, DEALT)
+    dealt = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "only_next", F.col("doc_id").desc_nulls_last(), "tie")
     return dealt.mapInArrow(_chained(lex), CHAINED)
