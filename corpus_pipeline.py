@@ -26,8 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id; rows without an id all stay."""
-    groups = jaccard_join.join(docs)
+    """One document of each group of near copies (shingles of five words, a similarity of 0.8 or more) stays, that of the
+    smallest doc_id; rows without an id all stay.
+    """
+    groups = jaccard_join.join(docs, k=5, percent=80)
     first = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
 from .components import components
-from .textnum import U64, mix, shingles, slices, view
+from .textnum import U64, shingles, slices, view
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000  # shingles that a task counts at a time
@@ -122,7 +122,7 @@ def _sets(k: int, percent: int, hot):
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(n, percent)]].view(np.int64))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 short = np.frombuffer(parity(s, 128), ">i8")
-                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *short.tolist(), parity(s, max(8, 1 << n.bit_length() - 1))))
+                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *short.tolist(), parity(s, max(8, 1 << n.bit_length()))))
             n, *rest = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefixes])), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -258,7 +258,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent:
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

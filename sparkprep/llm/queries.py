@@ -51,7 +51,7 @@ def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

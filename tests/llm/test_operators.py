@@ -196,11 +196,11 @@ def test_attribution(docs, rows, empty):
     assert all(whole[r[0]] == len(enc.encode_ordinary("\n".join(x or "" for x in (r[1], r[2], r[3])))) for r in rows)
 
 
-def plain_components(rows, percent=90):
+def plain_components(rows, k=3, percent=90):
     sets = {}
     for r in rows:
         w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or ""))
-        sets[r[0]] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[r[0]] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -209,8 +209,8 @@ def plain_components(rows, percent=90):
         return x
 
     ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
+    for at, a in enumerate(ids):
+        for b in ids[:at]:
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
@@ -219,14 +219,14 @@ def plain_components(rows, percent=90):
 
 
 def test_jaccard_join(docs, rows, empty):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, 3, 90).collect()}
     assert got == plain_components(rows)
     assert len({c for i, (_, c) in got.items() if 60 <= i < 110}) == 1
-    assert jaccard_join.join(empty).count() == 0
+    assert jaccard_join.join(empty, 3, 90).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_jaccard_join_near_the_threshold(spark, seed):
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 3, 90), (3, 5, 80), (4, 5, 80)])
+def test_jaccard_join_near_the_threshold(spark, seed, k, percent):
     """Chains and stars of copies with edits, and passages that many share."""
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -243,8 +243,8 @@ def test_jaccard_join_near_the_threshold(spark, seed):
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, words(r, r.randint(1, 30), vocabulary) + " " + passage) for i in range(60)]
     r.shuffle(rows)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_components(rows)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
+    assert got == plain_components(rows, k, percent)
 
 
 def test_components(spark):

@@ -43,7 +43,7 @@ def test_language_stage(stages):
 def test_duplicates_stage(stages):
     _, kept = stages
     known = [r for r in kept[1] if r[0] is not None]
-    first = {i for i, (_, c) in plain_components(known).items() if i == c}
+    first = {i for i, (_, c) in plain_components(known, 5, 80).items() if i == c}
     assert Counter(r[0] for r in kept[2]) == Counter([*first, None])
 
 
