@@ -117,7 +117,7 @@ def _chained(lex: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # of the row that waits for its next one: (part, id, text, code)
-        for batch in slices(batches, "packed", 1 << 20):
+        for batch in slices(batches, "packed", 1 << 18):
             part, ids, only = (batch.column(c).to_pylist() for c in ("part", "doc_id", "only_next"))
             texts = [unpacked(t) for t in batch.column("packed").to_pylist()]
             code = [codes(t, lex) for t in terms(pa.array(texts, pa.string()))]

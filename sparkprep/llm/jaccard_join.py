@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions
 from .components import components
-from .textnum import U64, shingles, slices, view
+from .textnum import U64, release, shingles, slices, view
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000  # shingles that a task counts at a time
@@ -154,6 +154,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
     if back is not None and joined:
         yield back
+    release()
 
 
 def _across(percent: int):
@@ -215,6 +216,7 @@ def _across(percent: int):
             held.append(batch.slice(last))
         if held:
             yield from work(pa.Table.from_batches(held))
+        release()
 
     return run
 
@@ -240,6 +242,7 @@ def _close(percent: int):
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             keep = [apart(p, q) <= i + j - 2 * -(-percent * (i + j) // (100 + percent)) for i, j, p, q in zip(n, m, x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 

@@ -7,6 +7,8 @@ hashes, and different ones collide with a probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +65,15 @@ def view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of at most ``limit`` bytes of text or a single row."""
+def release() -> None:
+    """Gives freed memory back, as Python workers are kept for other tasks while new ones start beside them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of at most ``limit`` bytes of text or a single row; in the end, memory is given back."""
     for batch in batches:
         texts = batch.column(column)
         _, offsets = view(texts)
@@ -73,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
