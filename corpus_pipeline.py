@@ -49,8 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids (little-endian 32-bit integers), ids_sha256, decoded_sha256."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], stable=True)
-    return bpe.digests(encoded, path, ids=True)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], stable=True, digests=True)
 
 
 STAGES = [

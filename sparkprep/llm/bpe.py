@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,12 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, shuffle_partitions
-from .textnum import U64, ranges, slices, span_hashes, view
+from .textnum import U64, ranges, release, slices, span_hashes, view
 
-BLOCK, PART, BUCKETS = 4 << 20, 1 << 20, 4
+BLOCK, PART, BUCKETS = 4 << 20, 1 << 19, 4
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
 _CLASSES: list[np.ndarray] = []
 #: The endings that the pattern splits off after an apostrophe.
@@ -194,6 +194,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
             held.append(row)
     if held:
         yield held
+    release()
 
 
 def _answer(ranks, pattern: str):
@@ -247,7 +248,9 @@ def _carry(column: str):
     return run
 
 
-def _place(column: str, keep: list[str], buckets: int):
+def _place(column: str, keep: list[str], buckets: int, ids_too: bool, table=None):
+    """table: of the tokens' bytes, if the digests of the ids and of what they decode to are wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "block"):
             if rows[0]["bucket"] != -1:
@@ -271,21 +274,28 @@ def _place(column: str, keep: list[str], buckets: int):
                 bound = np.append(0, np.cumsum(size[some]))[first[a : b + 1] - first[a]]
                 stored = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((4 * bound).astype(np.int32)), pa.py_buffer(ids)])
                 rest = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [*(rest.column(c) for c in keep), pa.array(np.diff(bound), pa.int64()), stored], [*keep, "n_tokens", "token_ids"]
-                )
+                new = {"n_tokens": pa.array(np.diff(bound), pa.int64())}
+                if ids_too:
+                    new["token_ids"] = stored
+                if table:
+                    raw, upto = _bytes_of(ids, bound, *table.value)
+                    new["ids_sha256"] = pa.array([hashlib.sha256(ids[i:j]).hexdigest() for i, j in itertools.pairwise(bound.tolist())], pa.string())
+                    new["decoded_sha256"] = pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in itertools.pairwise(upto.tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in keep), *new.values()], [*keep, *new])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep: list[str] | None = None, stable: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep: list[str] | None = None, stable: bool = False, ids: bool = True, digests: bool = False) -> DataFrame:
     """The columns ``keep`` (all but the text unless given) with n_tokens and token_ids, little-endian 32-bit integers.
 
+    ids: whether token_ids are wanted. digests: adds ids_sha256 and, of the ids decoded again, decoded_sha256.
+
     The new columns replace any of their names.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != column] if keep is None else keep
-    keep = [c for c in keep if c not in ("n_tokens", "token_ids")]
+    keep = [c for c in keep if c not in NEW]
     docs = docs.select(*dict.fromkeys([*keep, column]))
     docs = docs if stable else cut(docs, "to-encode")
     ranks = spark.sparkContext.broadcast(read_ranks(path))
@@ -296,37 +306,41 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep:
     carried = docs.mapInArrow(_carry(column), ANSWERS)
     placed = carried.unionAll(answered).repartition(parts, "block").sortWithinPartitions("block", "bucket")
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
-    return placed.mapInArrow(_place(column, keep, buckets), schema)
+    wanted = {"n_tokens": True, "token_ids": ids, "ids_sha256": digests, "decoded_sha256": digests}
+    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in NEW.items() if wanted[c])])
+    table = spark.sparkContext.broadcast(_token_table(path)) if digests else None
+    return placed.mapInArrow(_place(column, keep, buckets, ids, table), schema)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with the column decoded (binary); null ids have no bytes."""
+NEW = {"n_tokens": T.LongType(), "token_ids": T.BinaryType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, starts, bytes) of the tokens by id."""
     ranks = read_ranks(path)
-    size = np.zeros(max(ranks.values()) + 1, np.int64)
-    for token, i in ranks.items():
-        size[i] = len(token)
     known = {i: token for token, i in ranks.items()}
-    table = encoded.sparkSession.sparkContext.broadcast((size, b"".join(known.get(i, b"") for i in range(len(size)))))
+    each = [known.get(i, b"") for i in range(max(known) + 1)]
+    size = np.array([len(x) for x in each], np.int64)
+    return size, np.cumsum(size) - size, np.frombuffer(b"".join(each), np.uint8)
+
+
+def _bytes_of(ids: np.ndarray, bound: np.ndarray, size: np.ndarray, at: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all ids, where each text's start, then the end); bound: where each text's ids start, then the end."""
+    wide = ids.astype(np.int64)
+    return packed[ranges(at[wide], size[wide])], np.append(0, np.cumsum(size[wide]))[bound]
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with the column decoded (binary); null ids have no bytes."""
+    table = encoded.sparkSession.sparkContext.broadcast(_token_table(path))
     encoded = encoded.drop("decoded")
     keep = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, packed = table.value
-        at, packed = np.cumsum(size) - size, np.frombuffer(packed, np.uint8)
         for batch in slices(batches, "token_ids"):
             data, offsets = view(batch.column("token_ids"))
-            ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-            out = packed[ranges(at[ids], size[ids])]
-            bound = np.append(0, np.cumsum(size[ids]))[offsets // 4]
+            out, bound = _bytes_of(np.frombuffer(data.tobytes(), "<u4"), offsets // 4, *table.value)
             stored = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stored], [*keep, "decoded"])
-
-    schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("decoded", T.BinaryType())])
-    return encoded.mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([*batch.columns, stored], [*keep, "decoded"])
 
-def digests(encoded: DataFrame, path: str, ids: bool = False) -> DataFrame:
-    """``encoded`` with ids_sha256 and decoded_sha256; token_ids go unless ``ids``."""
-    both = {"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
-    return decode(encoded, path).withColumns(both).drop("decoded", *[] if ids else ["token_ids"])
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -33,7 +33,7 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, stable=True), path)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, stable=True, ids=False, digests=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

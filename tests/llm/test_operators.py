@@ -116,16 +116,17 @@ def test_imatch_ties(spark):
 
 def test_bpe(docs, rows, empty):
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
-    got = bpe.digests(bpe.encode(docs, PATH, P.PATTERN), PATH, ids=True).collect()
+    got = bpe.decode(bpe.encode(docs, PATH, P.PATTERN, digests=True), PATH).collect()
     assert len(got) == len(rows)
     text = {r[0]: r[1] or "" for r in rows}
     for g in got:
         ids = enc.encode_ordinary(text[g["doc_id"]])
         raw = struct.pack(f"<{len(ids)}I", *ids)
         assert bytes(g["token_ids"]) == raw and g["n_tokens"] == len(ids)
+        assert bytes(g["decoded"]) == text[g["doc_id"]].encode()
         assert g["ids_sha256"] == hashlib.sha256(raw).hexdigest()
         assert g["decoded_sha256"] == hashlib.sha256(text[g["doc_id"]].encode()).hexdigest()
-    assert bpe.digests(bpe.encode(empty, PATH, P.PATTERN), PATH).count() == 0
+    assert bpe.encode(empty, PATH, P.PATTERN, ids=False, digests=True).count() == 0
 
 
 def test_pii(spark, docs, rows, empty):
