@@ -88,20 +88,28 @@ def normaltest_from(n: int, g1: float, g2: float) -> tuple[float, float]:
     return k, tails.chi2_sf(k, 2)
 
 
-def anderson(data) -> tuple[float, float, float]:
-    """A2, p (interpolated between 0.15 and 0.01) and the critical value at 5%."""
-    x = np.sort(_numbers(data))
-    n = len(x)
+def log_tails(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithms of the normal distribution below and above each z."""
+    return np.array([math.log(max(tails.normal_cdf(v), 1e-300)) for v in z]), np.array([math.log(max(tails.normal_sf(v), 1e-300)) for v in z])
+
+
+def anderson_from(n: int, total: float) -> tuple[float, float, float]:
+    """A2, p (interpolated between 0.15 and 0.01) and the critical value at 5%, from the sum of (2i - 1) ln F + (2(n - i) + 1) ln(1 - F)."""
     # Critical points for unknown mean and variance, and their levels.
     points, levels = np.array([0.576, 0.656, 0.787, 0.918, 1.092]), np.array([0.15, 0.10, 0.05, 0.025, 0.01])
     points = points / (1 + 4 / n - 25 / n / n)
-    z = (x - x.mean()) / x.std(ddof=1)
-    low = np.array([math.log(max(tails.normal_cdf(v), 1e-300)) for v in z])
-    high = np.array([math.log(max(tails.normal_sf(v), 1e-300)) for v in z])
-    a2 = float(-n - ((2 * np.arange(1, n + 1) - 1) / n * (low + high[::-1])).sum())
+    a2 = float(-n - total / n)
     return a2, float(np.interp(a2, points, levels)), float(points[2])
 
 
+def anderson(data) -> tuple[float, float, float]:
+    x = np.sort(_numbers(data))
+    n = len(x)
+    low, high = log_tails((x - x.mean()) / x.std(ddof=1))
+    i = np.arange(1, n + 1)
+    return anderson_from(n, float(((2 * i - 1) * low + (2 * (n - i) + 1) * high).sum()))
+
+
 def check_normality(data, method: str = "shapiro", alpha: float = 0.05) -> dict:
     if method not in NORMALITY:
         raise ValueError(f"method is one of {NORMALITY}")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidMethodError
+from ..functions import statistics as st
 from ..plans import fused
 from ..plans.fused import aggregate, distinct_counts, moments, small
 from ..schema import get_numeric_columns, get_string_columns, is_whole, kind, number, quoted
@@ -51,6 +52,24 @@ class DataAnalyzer(FeatureEngineeringBase):
             "duplicates": self.duplicate_rows(),
         }
 
+    def check_normality(self, column: str, method: str = "shapiro", alpha: float = 0.05) -> dict:
+        """As ``statistics.check_normality``: all rows by their moments or ranks, but for Shapiro's test, which is made for 5000."""
+        if method not in st.NORMALITY:
+            raise ValueError(f"method is one of {st.NORMALITY}")
+        if method == "shapiro":
+            n, x = self.df.agg(F.count(number(self.df, column))).first()[0], fused.sample(self.df, column, st.SHAPIRO_ROWS)
+            return st.check_normality(x, method, alpha) | {"n": n}
+        x = number(self.df, column)
+        n, mean, std, g1, g2 = self.df.agg(F.count(x), F.avg(x), F.stddev_samp(x), F.skewness(x), F.kurtosis(x)).first()
+        if n < (8 if method == "normaltest" else 3):
+            return st.check_normality([], method, alpha) | {"n": n}
+        extra = {}
+        if method == "normaltest":
+            stat, p = st.normaltest_from(n, g1, g2) if std else (math.nan, 1.0)
+        else:
+            stat, p, extra["critical_value"] = st.anderson_from(n, fused.anderson_sum(self.df, column, mean, std)) if std else (math.nan, 1.0, math.nan)
+        return {"is_normal": bool(p > alpha), "statistic": stat, "p_value": p, "method": method, "n": n} | extra
+
     def get_missing_summary(self) -> DataFrame:
         """(column, missing_count, missing_percent) of columns that miss any, most first."""
         names = self.df.columns

@@ -127,6 +127,44 @@ def ranks(df: DataFrame, column: str, bounds: list | None = None) -> DataFrame:
     return counts.join(below, "bucket").select("value", "n", (F.col("below") + upto - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))
 
 
+def sample(df: DataFrame, column: str, rows: int, seed: int = 42):
+    """The values of so many random rows that aren't null, or of all if there are no more.
+
+    Places in sorted order are drawn, and each value gives as many rows as its places were hit; so every row is as likely as any
+    other, however often its value occurs, and the partitions don't matter.
+    """
+    import numpy as np
+
+    x = df.select(number(df, column).alias("x")).filter("x IS NOT NULL")
+    n = x.count()
+    if n <= rows:
+        return x.toPandas()["x"].to_numpy(dtype=float)
+    at = np.sort(np.random.default_rng(seed).choice(n, rows, replace=False))
+
+    def hit(batches):
+        for b in batches:
+            low = b["rank"] - (b["n"] + 1) / 2  # the first place of the value, from 0
+            times = np.searchsorted(at, low + b["n"]) - np.searchsorted(at, low)
+            yield b[["value"]].loc[b.index.repeat(times)]
+
+    return ranks(x, "x").mapInPandas(hit, "value double").toPandas()["value"].to_numpy(dtype=float)
+
+
+def anderson_sum(df: DataFrame, column: str, mean: float, std: float) -> float:
+    """What ``statistics.anderson_from`` takes, from the values' counts and ranks: the sum of (2i - 1) ln F + (2(n - i) + 1) ln(1 - F)."""
+    from ..functions.statistics import log_tails
+
+    n = df.agg(F.count(number(df, column))).first()[0]
+
+    def parts(batches):
+        for b in batches:
+            low, high = log_tails((b["value"].to_numpy(dtype=float) - mean) / std)
+            b["s"] = b["n"] * ((2 * b["rank"] - 1) * low + (2 * (n - b["rank"]) + 1) * high)
+            yield b[["s"]].sum().to_frame().T
+
+    return ranks(df, column).mapInPandas(parts, "s double").agg(F.sum("s")).first()[0]
+
+
 def pair_moments(x: Column, y: Column) -> dict[str, Column]:
     """What Pearson's r takes, over the rows that have both."""
     both = x.isNotNull() & y.isNotNull()

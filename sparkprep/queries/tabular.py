@@ -770,6 +770,6 @@ def bootstrap_ci(spark, sf):
 
 @query("normality")
 def normality(spark, sf):
-    x = load(spark, sf, "orders").orderBy("o_orderkey").limit(2000).toPandas()["o_totalprice"]
-    got = [st.check_normality(x, m) for m in st.NORMALITY]
+    orders = DataAnalyzer(load(spark, sf, "orders").select("o_totalprice"))
+    got = [orders.check_normality("o_totalprice", m) for m in st.NORMALITY]
     return small(spark, [(g["method"], float(g["statistic"]), float(g["p_value"]), g["is_normal"]) for g in got], "method string, statistic double, p double, is_normal boolean")

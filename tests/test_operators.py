@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import sparkprep as sp
 from sparkprep.functions import statistics as st
 from sparkprep.functions import tails
+from sparkprep.queries import tabular
 from sparkprep.streaming.score import score
 
 
@@ -220,6 +221,26 @@ def test_target(spark, tmp_path):
     assert reg.analyze_mutual_information(estimator="knn").first()["feature"] == "f1"
 
 
+def test_normality_of_all_rows(spark):
+    r = np.random.default_rng(3)
+    x = np.round(np.concatenate([r.normal(size=2000), r.exponential(3, size=6000)]), 2)  # ties, and only the first rows are normal
+    a = sp.DataAnalyzer(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None)], "i long, x double"))
+    for m in ("normaltest", "anderson"):
+        got, want = a.check_normality("x", m), st.check_normality(x, m)
+        assert got["n"] == len(x) and not got["is_normal"]
+        assert got["statistic"] == pytest.approx(want["statistic"], rel=1e-9) and got["p_value"] == pytest.approx(want["p_value"])
+    assert not a.check_normality("x")["is_normal"] and a.check_normality("x")["n"] == len(x)
+
+
+def test_normality_query_reads_all_orders(spark, tmp_path):
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=2000), r.exponential(3, size=4000)])
+    spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {g["method"]: g for g in tabular.QUERIES["normality"](spark, str(tmp_path)).collect()}
+    assert not any(g["is_normal"] for g in got.values())
+    assert got["anderson"]["statistic"] == pytest.approx(st.check_normality(x, "anderson")["statistic"], rel=1e-9)
+
+
 # -- statistics without Spark
 
 
