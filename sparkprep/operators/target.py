@@ -114,9 +114,8 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         return self._cache["target"]
 
     def _sample(self, x, rows: int = st.SHAPIRO_ROWS) -> np.ndarray:
-        """At most as many rows as the test is made for, chosen by hash."""
-        got = self.df.select(x.alias("x")).filter("x IS NOT NULL").orderBy(F.xxhash64("x", F.lit(42))).limit(rows)
-        return got.toPandas()["x"].to_numpy(dtype=float)
+        """At most as many random rows as the test is made for."""
+        return fused.sample(self.df.select(x.alias("x")), "x", rows)
 
     # -- statistics by class
 

@@ -241,6 +241,17 @@ def test_normality_query_reads_all_orders(spark, tmp_path):
     assert got["anderson"]["statistic"] == pytest.approx(st.check_normality(x, "anderson")["statistic"], rel=1e-9)
 
 
+def test_shapiro_sample_of_rows_not_of_values(spark):
+    df = spark.range(0, 60_000, numPartitions=4).select((F.col("id") % 5).cast("double").alias("y"), F.lit(2.0).alias("p"))
+    t = sp.TargetAnalyzer(df, "y", "regression")
+    x = t._sample(F.col("y"))
+    assert len(x) == 5000 and (np.abs(np.bincount(x.astype(int)) - 1000) < 150).all()
+    assert (np.sort(x) == np.sort(sp.TargetAnalyzer(df.repartition(7), "y", "regression")._sample(F.col("y")))).all()
+    got = t.analyze_target_distribution()
+    assert got["shapiro_statistic"] < 0.95 and not got["is_normal"]
+    assert t.analyze_residuals("p")["shapiro_statistic"] == pytest.approx(got["shapiro_statistic"])
+
+
 # -- statistics without Spark
 
 
