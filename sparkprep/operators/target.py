@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import ColumnNotFoundError, InvalidMethodError
 from ..functions import statistics as st
-from ..plans import fused
+from ..plans import fused, neighbours
 from ..plans.fused import aggregate, distinct_counts, moments, small
 from ..schema import get_feature_columns, is_numeric, kind, number, quoted, validate_columns
 from .base import FeatureEngineeringBase
@@ -269,8 +269,8 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
     def analyze_mutual_information(self, feature_columns: list[str] | None = None, estimator: str = "binned", bins: int = 10, sample_rows: int = 20_000) -> DataFrame:
         """(feature, mi, normalized_mi or relative_mi), most first. Null features count as 0.
 
-        ``binned``: the plug-in estimate over quantile bins of all rows. ``knn``: nearest neighbours (k = 3), over at most
-        ``sample_rows`` rows chosen by hash, as its cost and memory don't allow more.
+        ``binned``: the plug-in estimate over quantile bins of all rows. ``knn``: nearest neighbours (k = 3); over all rows for
+        classes, and over at most ``sample_rows`` random rows for a numeric target, which is open.
         """
         if estimator not in ("binned", "knn"):
             raise InvalidMethodError(estimator, ["binned", "knn"])
@@ -308,10 +308,16 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         return out
 
     def _neighbours(self, rows: DataFrame, names: list[str], most: int, k: int = 3) -> dict[str, float]:
-        sample = rows.orderBy(F.xxhash64(*map(quoted, names), "_y", F.lit(42))).limit(most).toPandas()
-        estimate = _ross if self.task == "classification" else _ksg
-        y = sample["_y"].to_numpy()
-        return {c: max(0.0, estimate(_jittered(sample[c].to_numpy(dtype=float), i), y, k)) for i, c in enumerate(names)}
+        if self.task == "regression":
+            sample = rows.withColumn("_r", F.rand(42)).orderBy("_r").limit(most).toPandas()
+            return {c: max(0.0, _ksg(_jittered(sample[c].to_numpy(dtype=float), i), sample["_y"].to_numpy(), k)) for i, c in enumerate(names)}
+        stats = aggregate(rows, {(c, "std"): F.stddev_pop(quoted(c)) for c in names} | {(c, "size"): F.avg(F.abs(quoted(c))) for c in names})
+        scale = {c: stats[c, "std"] or 1.0 for c in names}
+        noise = lambda c, i: 1e-10 * max(1.0, stats[c, "size"] / scale[c]) * F.randn(42 + i)
+        noisy = (rows.select(F.col("_y").alias("y"), *((quoted(c) / scale[c] + noise(c, i)).alias(f"x{i}") for i, c in enumerate(names))))
+        # Kept once, as the noise must be the same whenever it is read; in the executors where there is no shared folder.
+        noisy = noisy.checkpoint() if self.spark.sparkContext.getCheckpointDir() else noisy.localCheckpoint()
+        return {c: max(0.0, neighbours.ross(noisy.select(F.col(f"x{i}").alias("x"), "y"), k)) for i, c in enumerate(names)}
 
     # -- quality
 
@@ -363,46 +369,6 @@ def _jittered(x: np.ndarray, seed: int) -> np.ndarray:
     return x + 1e-10 * max(1.0, np.abs(x).mean()) * np.random.default_rng(42 + seed).standard_normal(len(x))
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float).copy()
-    out = np.zeros_like(x)
-    while (low := x < 6).any():
-        out[low] -= 1 / x[low]
-        x[low] += 1
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-
-
-def _kth(x: np.ndarray, k: int) -> np.ndarray:
-    """The distance of each value to its k-th nearest other one."""
-    order = np.argsort(x)
-    s = x[order]
-    near = np.full(len(s), np.inf)
-    for below in range(k + 1):  # the window of k + 1 values that starts so many places below
-        lo, hi = np.arange(len(s)) - below, np.arange(len(s)) - below + k
-        ok = (lo >= 0) & (hi < len(s))
-        width = np.maximum(s - s[np.clip(lo, 0, None)], s[np.clip(hi, None, len(s) - 1)] - s)
-        near = np.where(ok, np.minimum(near, width), near)
-    out = np.empty(len(s))
-    out[order] = near
-    return out
-
-
-def _ross(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Between a number and a class."""
-    radius, size, used = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
-    for c in np.unique(y):
-        at = np.flatnonzero(y == c)
-        if len(at) > 1:
-            kk = min(k, len(at) - 1)
-            radius[at], size[at], used[at] = np.nextafter(_kth(x[at], kk), 0), len(at), kk
-    keep = used > 0
-    x, radius, size, used = x[keep], radius[keep], size[keep], used[keep]
-    s = np.sort(x)
-    m = np.searchsorted(s, x + radius, "right") - np.searchsorted(s, x - radius, "left")
-    return float(_digamma(np.array([len(x)]))[0] + _digamma(used).mean() - _digamma(size).mean() - _digamma(m).mean())
-
-
 def _ksg(x: np.ndarray, y: np.ndarray, k: int) -> float:
     """Between two numbers."""
     y = _jittered(np.asarray(y, float), 999)
@@ -412,7 +378,7 @@ def _ksg(x: np.ndarray, y: np.ndarray, k: int) -> float:
         radius[at : at + 500] = np.partition(away, k, axis=1)[:, k]
     radius = np.nextafter(radius, 0)
     count = lambda v: np.searchsorted(s := np.sort(v), v + radius, "right") - np.searchsorted(s, v - radius, "left")
-    return float(_digamma(np.array([len(x), k])).sum() - _digamma(count(x)).mean() - _digamma(count(y)).mean())
+    return float(neighbours.digamma(np.array([len(x), k])).sum() - neighbours.digamma(count(x)).mean() - neighbours.digamma(count(y)).mean())
 
 
 def _drawn(name: str):

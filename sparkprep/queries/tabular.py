@@ -716,7 +716,7 @@ def mi_binned(spark, sf):
 @query("mi_knn")
 def mi_knn(spark, sf):
     df = load(spark, sf, "lineitem", LINE).select("qty", "price", "discount", "flag")
-    return TargetAnalyzer(df, "flag", "classification").analyze_mutual_information(estimator="knn", sample_rows=5000)
+    return TargetAnalyzer(df, "flag", "classification").analyze_mutual_information(estimator="knn")
 
 
 @query("residuals", "SELECT round(avg(e), 4) AS mean, round(stddev_samp(e), 4) AS std, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * 1500 AS e FROM lineitem)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import sparkprep as sp
 from sparkprep.functions import statistics as st
 from sparkprep.functions import tails
+from sparkprep.plans.neighbours import digamma, ross
 from sparkprep.queries import tabular
 from sparkprep.streaming.score import score
 
@@ -252,6 +253,39 @@ def test_shapiro_sample_of_rows_not_of_values(spark):
     assert t.analyze_residuals("p")["shapiro_statistic"] == pytest.approx(got["shapiro_statistic"])
 
 
+def brute_ross(x, y, k):
+    """By the matrix of distances."""
+    keep = np.isin(y, [c for c in np.unique(y) if (y == c).sum() > 1])
+    x, y = x[keep], y[keep]
+    away, n = np.abs(x[:, None] - x), np.array([(y == c).sum() for c in y])
+    used = np.minimum(k, n - 1)
+    kth = np.array([np.partition(a[y == c], m)[m] for a, c, m in zip(away, y, used, strict=True)])  # the first one is the row itself
+    m = np.where(kth > 0, (away < kth[:, None]).sum(1), (away == 0).sum(1))
+    return float(digamma(np.array([len(x)]))[0] + (digamma(used) - digamma(n) - digamma(m)).mean())
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_neighbours_of_all_rows(spark, seed):
+    r = np.random.default_rng(seed)
+    y = r.choice(list("abcd"), 6000, p=[0.6, 0.39, 0.008, 0.002])
+    x = r.normal(size=6000) + (y == "b") + 5 * (y == "d")
+    x[:1500] = 1e-10 * r.normal(size=1500)  # a value that is hot but for the noise
+    x[1500:1600] = 2.0  # and one without noise
+    y[7] = "alone"
+    points = spark.createDataFrame([(float(a), str(b)) for a, b in zip(x, y, strict=True)], "x double, y string")
+    assert ross(points, 3) == pytest.approx(brute_ross(x, y, 3), abs=1e-5)
+
+
+def test_knn_takes_all_rows(spark):
+    # Half of the rows are one row; the feature tells the class of each other row.
+    df = spark.range(0, 60_000, numPartitions=4).select(
+        F.when(F.col("id") % 2 == 0, 0.0).otherwise((F.col("id") % 4 - 2) * (1 + F.rand(1))).alias("f"),
+        F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 4).cast("string")).alias("t"),
+    )
+    mi = sp.TargetAnalyzer(df, "t", "classification").analyze_mutual_information(estimator="knn").first()["mi"]
+    assert mi == pytest.approx(0.5 * math.log(2) + 0.5 * math.log(4), abs=0.01)
+
+
 # -- statistics without Spark
 
 
