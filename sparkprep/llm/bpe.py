@@ -12,7 +12,8 @@ Both scans of the input must give the same rows in the same order, as scans of f
 again); for any other input leave ``stable`` False, and the input is written to the shared folder first. A block that
 differs between the scans is noticed, as its ids are missing, and raises an error.
 
-Null or empty text has no ids. Repeated rows are rows of their own. Other columns are kept. Empty tables give empty results.
+Null or empty text has no ids. Repeated rows and ties are rows of their own. A very long text is a block of its own, handled
+whole. Other columns are kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions
-from .textnum import U64, ranges, release, slices, span_hashes, view
+from .common import cut, shuffle_partitions, without
+from .textnum import U64, distinct_spans, ranges, release, slices, span_hashes, view
 
 BLOCK, PART, BUCKETS = 4 << 20, 1 << 19, 4
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
@@ -40,6 +42,8 @@ _CLASSES: list[np.ndarray] = []
 #: The endings that the pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, WHITE = range(4)
+#: A word that the pattern has matched is encoded as it is.
+WHOLE = r"[\s\S]+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,6 +106,23 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(start[:n])]
 
 
+def matches(data: np.ndarray, offsets: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends), in bytes, of the matches of ``pattern`` in each text; what lies between them has no ids.
+
+    ``public_tokenizers.PATTERN`` is split by arrays, any other pattern by the regex module.
+    """
+    if pattern == PATTERN:
+        starts = pre_tokens(data, offsets)
+        return starts, np.append(starts[1:], len(data))[: len(starts)]
+    found = []
+    for a, b in itertools.pairwise(offsets.tolist()):
+        text = data[a:b].tobytes().decode()
+        upto = np.append(0, np.cumsum([len(c.encode()) for c in text])) + a  # bytes before each code point
+        found += [(upto[m.start()], upto[m.end()]) for m in regex.finditer(pattern, text) if m.end() > m.start()]
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``PART`` bytes, or of one text."""
     at = 0
@@ -111,21 +132,21 @@ def _parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _split(batch: pa.RecordBatch, column: str):
+def _split(batch: pa.RecordBatch, column: str, pattern: str):
     """(bytes, offsets, starts, ends, distinct hashes, first token of each, distinct word of each token).
 
     Bytes are handled ``PART`` at a time, as that takes many times their memory.
     """
     data, offsets = view(batch.column(column))
-    starts, hashes = [], []
+    starts, ends, hashes = [], [], []
     for at, to in _parts(offsets):
         part = data[offsets[at] : offsets[to]]
-        own = pre_tokens(part, offsets[at : to + 1] - offsets[at])
-        starts.append(own + offsets[at])
-        hashes.append(span_hashes(part, own, np.append(own[1:], len(part))))
-    starts = np.concatenate([np.zeros(0, np.int64), *starts])
-    distinct, where, which = np.unique(np.concatenate([np.zeros(0, U64), *hashes]), return_index=True, return_inverse=True)
-    return data, offsets, starts, np.append(starts[1:], len(data)), distinct, where, which
+        a, b = matches(part, offsets[at : to + 1] - offsets[at], pattern)
+        starts.append(a + offsets[at])
+        ends.append(b + offsets[at])
+        hashes.append(span_hashes(part, a, b))
+    starts, ends = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, ends))
+    return data, offsets, starts, ends, *distinct_spans(data, starts, ends, np.concatenate([np.zeros(0, U64), *hashes]))
 
 
 def _block_id(batch: pa.RecordBatch, column: str, seq: int) -> int:
@@ -158,12 +179,12 @@ WORDS = "bucket int, block long, n int, lengths binary, words binary"
 ANSWERS = "block long, bucket int, n int, lengths binary, words binary"
 
 
-def _ask(column: str, buckets: int):
+def _ask(column: str, pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, batch in enumerate(slices(batches, column, BLOCK)):
             block = _block_id(batch, column, seq)
             press = zstandard.ZstdCompressor(level=3)
-            data, _, starts, ends, distinct, where, _ = _split(batch, column)
+            data, _, starts, ends, distinct, where, _ = _split(batch, column, pattern)
             order, names, begin, end = _bucketed(distinct, buckets)
             where = where[order]
             lengths = ends[where] - starts[where]
@@ -197,16 +218,17 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
     release()
 
 
-def _answer(ranks, pattern: str):
+def _answer(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks.value, pattern)
+        enc = encoding(ranks.value, WHOLE)
         for rows in _groups(batches, "bucket"):
             n = np.array([r["n"] for r in rows])
             lengths = np.concatenate([_widen(r["lengths"], r["n"]) for r in rows])
             open_ = zstandard.ZstdDecompressor()
             packed = b"".join(open_.decompress(r["words"]) for r in rows)
             ends = np.cumsum(lengths)
-            _, where, which = np.unique(span_hashes(np.frombuffer(packed, np.uint8), ends - lengths, ends), return_index=True, return_inverse=True)
+            raw = np.frombuffer(packed, np.uint8)
+            _, where, which = distinct_spans(raw, ends - lengths, ends, span_hashes(raw, ends - lengths, ends))
             # Each distinct word is encoded once.
             ids = [enc.encode_ordinary(packed[ends[i] - lengths[i] : ends[i]].decode()) for i in where.tolist()]
             size = np.array([len(x) for x in ids], np.int64)
@@ -248,7 +270,7 @@ def _carry(column: str):
     return run
 
 
-def _place(column: str, keep: list[str], buckets: int, ids_too: bool, table=None):
+def _place(column: str, pattern: str, keep: list[str], buckets: int, ids_too: bool, table=None):
     """table: of the tokens' bytes, if the digests of the ids and of what they decode to are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +278,7 @@ def _place(column: str, keep: list[str], buckets: int, ids_too: bool, table=None
             if rows[0]["bucket"] != -1:
                 raise ValueError("the input changed between two scans: ids came for a block that is not there")
             batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows[0]["words"])).read_next_batch()
-            data, offsets, starts, _, distinct, _, which = _split(batch, column)
+            data, offsets, starts, _, distinct, _, which = _split(batch, column, pattern)
             if sum(r["n"] for r in rows) != len(distinct):
                 raise ValueError("the input changed between two scans: a block's ids are missing")
             order, _, _, _ = _bucketed(distinct, buckets)
@@ -295,21 +317,21 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep:
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c != column] if keep is None else keep
-    keep = [c for c in keep if c not in NEW]
+    keep = without(keep, NEW)
     docs = docs.select(*dict.fromkeys([*keep, column]))
     docs = docs if stable else cut(docs, "to-encode")
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     parts = shuffle_partitions(spark)
     buckets = parts * BUCKETS
-    asked = docs.mapInArrow(_ask(column, buckets), WORDS).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    answered = asked.mapInArrow(_answer(ranks, pattern), ANSWERS)
+    asked = docs.mapInArrow(_ask(column, pattern, buckets), WORDS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(_answer(ranks), ANSWERS)
     carried = docs.mapInArrow(_carry(column), ANSWERS)
     placed = carried.unionAll(answered).repartition(parts, "block").sortWithinPartitions("block", "bucket")
     fields = [docs.schema[c] for c in keep]
     wanted = {"n_tokens": True, "token_ids": ids, "ids_sha256": digests, "decoded_sha256": digests}
     schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in NEW.items() if wanted[c])])
     table = spark.sparkContext.broadcast(_token_table(path)) if digests else None
-    return placed.mapInArrow(_place(column, keep, buckets, ids, table), schema)
+    return placed.mapInArrow(_place(column, pattern, keep, buckets, ids, table), schema)
 
 
 NEW = {"n_tokens": T.LongType(), "token_ids": T.BinaryType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}

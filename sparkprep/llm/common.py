@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(names: Iterable[str], others: Iterable[str]) -> list[str]:
+    """The names that Spark wouldn't take for one of the others: it doesn't tell upper from lower case."""
+    taken = {c.lower() for c in others}
+    return [c for c in names if c.lower() not in taken]
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -1,14 +1,17 @@
 """Text as numbers: words, pre-tokens and shingles of many texts at once, straight from Arrow's buffers.
 
-Texts of one slice lie one after another in a byte array. A span's hash is a polynomial over its bytes modulo 2**64,
-taken from prefix sums, so its cost doesn't depend on Python's objects. Hashes are mixed before use; equal spans have equal
-hashes, and different ones collide with a probability of about 2**-64 a pair.
+Texts of one slice lie one after another in a byte array. The hash of a span of up to ``SHORT`` bytes is a polynomial over its
+bytes modulo 2**64, taken from prefix sums, so its cost doesn't depend on Python's objects, and mixed. Such a polynomial
+is blind to some long spans, whatever its base (those of 1024 bytes and more that differ by the Thue-Morse sequence), so
+longer spans, which are few, have a keyed BLAKE2b of 64 bits. Equal spans have equal hashes; where a collision would give
+wrong results and not only a missed or spare candidate, ``distinct_spans`` compares the bytes as well.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
+SHORT = 32
+
 #: ASCII white space: 9 to 13 and 32.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,11 +49,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _digest(data: np.ndarray, start: int, end: int, turn: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data[start:end].tobytes(), digest_size=8, key=b"span%d" % turn).digest(), "little")
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = _digest(data, starts[i], ends[i])
+    return out
+
+
+def _unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """The spans whose bytes aren't those of the span ``like`` them."""
+    size = ends - starts
+    odd = [np.flatnonzero(size != size[like])]
+    same = np.flatnonzero((size == size[like]) & (like != np.arange(len(like))))
+    for at in range(0, len(same), at_once):
+        some = same[at : at + at_once]
+        n = size[some]
+        differ = data[ranges(starts[some], n)] != data[ranges(starts[like[some]], n)]
+        if differ.any():
+            odd.append(some[np.unique(np.repeat(np.arange(len(some)), n)[differ])])
+    return np.concatenate(odd)
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, first span of each, which of them each span has): equal if and only if the bytes are.
+
+    Spans that share a hash but not the bytes get another one, the same wherever those spans occur in this order.
+    """
+    hashes, turn = hashes.copy(), 0
+    while True:
+        distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+        odd = _unlike(data, starts, ends, where[which])
+        if not len(odd):
+            return distinct, where, which
+        turn += 1
+        for i in odd.tolist():
+            hashes[i] = _digest(data, starts[i], ends[i], turn)
 
 
 def view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
