@@ -9,8 +9,10 @@ with the number of symbols.
 the byte less 128; so the thumbnail is the payload. A picture is 24 blocks wide and has a restart interval for each
 row, up to ``ROWS`` rows; more bytes make more pictures, one after another.
 
-Null media or text: no bytes, or an empty text. Media that is no baseline JPEG gets null features. Repeated rows and equal
-texts have equal values. Empty tables give empty results.
+Null media or text: no bytes, or an empty text. Media that is no baseline JPEG, is cut off, or claims more blocks than its
+bits can hold gets null features, so a decoder's work is bounded by the bytes it reads. Very long texts become several
+pictures, held in memory whole. Repeated rows, ties and equal texts have equal values. Empty tables give empty results;
+``features`` keeps other columns, ``texts_as_pictures`` ignores them.
 """
 
 from __future__ import annotations
@@ -105,12 +107,16 @@ def parse(data: bytes, at: int = 0) -> Picture:
         if marker == DQT:
             while body:
                 wide = body[0] >> 4
-                table = np.frombuffer(body[1 : 1 + (64 << wide)], ">u2" if wide else np.uint8).astype(np.int64)
-                quants[body[0] & 15], body = table, body[1 + (64 << wide) :]
+                raw = body[1 : 1 + (64 << wide)]
+                if wide > 1 or len(raw) != 64 << wide:
+                    raise NotBaseline("a quantisation table is cut off")
+                quants[body[0] & 15], body = np.frombuffer(raw, ">u2" if wide else np.uint8).astype(np.int64), body[1 + (64 << wide) :]
         elif marker == DHT:
             while body:
                 n = sum(body[1:17])
                 key = body[1 : 17 + n]
+                if len(key) != 16 + n:
+                    raise NotBaseline("a Huffman table is cut off")
                 if key not in _LOOKUPS:
                     if len(_LOOKUPS) > 64:
                         _LOOKUPS.clear()
@@ -121,6 +127,8 @@ def parse(data: bytes, at: int = 0) -> Picture:
                 raise NotBaseline("samples are not of 8 bits")
             height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             parts = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
+            if not all(1 <= c.h <= 4 and 1 <= c.v <= 4 for c in parts):
+                raise NotBaseline("no such sampling")
         elif marker == DRI:
             interval = int.from_bytes(body[:2], "big")
         elif marker == SOS:
@@ -166,8 +174,8 @@ def intervals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], np.concatenate([[0], before[restart], [before[-1]]])
 
 
-def walk(data: np.ndarray, begin: np.ndarray, blocks: np.ndarray, order: list[tuple[int, tuple, tuple]]) -> np.ndarray:
-    """The DC differences, added up, of all blocks of the intervals that start at ``begin``; a row for each interval.
+def walk(data: np.ndarray, begin: np.ndarray, end: np.ndarray, blocks: np.ndarray, order: list[tuple[int, tuple, tuple]]) -> np.ndarray:
+    """The DC differences, added up, of all blocks of the intervals from ``begin`` to ``end``, one interval after another.
 
     order: (component, DC table, AC table) of each block of a unit, which repeats. blocks: of each interval.
     """
@@ -175,8 +183,9 @@ def walk(data: np.ndarray, begin: np.ndarray, blocks: np.ndarray, order: list[tu
     window = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]  # 32 bits from each byte on
     top = len(window) - 1
     bit = begin.astype(np.int64) * 8
-    most = int(blocks.max(initial=0))
-    out = np.zeros((len(begin), most), np.int32)
+    limit = end.astype(np.int64) * 8
+    place = np.cumsum(blocks) - blocks
+    out = np.zeros(int(blocks.sum()), np.int32)
     last = np.zeros((1 + max(c for c, _, _ in order), len(begin)), np.int32)
 
     def peek(at: np.ndarray) -> np.ndarray:
@@ -187,10 +196,10 @@ def walk(data: np.ndarray, begin: np.ndarray, blocks: np.ndarray, order: list[tu
         got = (peek(at) >> np.uint32(1) >> (np.uint32(31) - size)).astype(np.int32)
         return np.where(got < (1 << size.astype(np.int32)) >> 1, got - (1 << size.astype(np.int32)) + 1, got)
 
-    every = np.arange(len(begin))
-    for i in range(most):
+    lane = np.arange(len(begin))
+    for i in range(int(blocks.max(initial=0))):
         part, (dc_symbol, dc_length), (ac_symbol, ac_length) = order[i % len(order)]
-        lane = every if blocks.min() > i else every[blocks > i]
+        lane = lane[blocks[lane] > i]
         at = bit[lane]
         code = peek(at) >> np.uint32(16)
         size, used = dc_symbol[code].astype(np.uint32), dc_length[code]
@@ -198,7 +207,7 @@ def walk(data: np.ndarray, begin: np.ndarray, blocks: np.ndarray, order: list[tu
             raise NotBaseline("a code that no table has")
         at = at + used
         last[part, lane] += value(at, size)
-        out[lane, i] = last[part, lane]
+        out[place[lane] + i] = last[part, lane]
         at = at + size
         done = np.zeros(len(lane), np.int64)  # AC coefficients passed
         live = np.arange(len(lane))
@@ -212,6 +221,8 @@ def walk(data: np.ndarray, begin: np.ndarray, blocks: np.ndarray, order: list[tu
                 break
             done[live] += np.where(symbol == 0, 64, (symbol >> 4) + 1)
             live = live[done[live] < 63]
+        if (at > limit[lane]).any():
+            raise NotBaseline("the bits run out")
         bit[lane] = at
     return out
 
@@ -227,7 +238,7 @@ def thumbnails(data: list[bytes]) -> list[list[np.ndarray] | None]:
     for x in data:
         try:
             found.append(pictures(x))
-        except (NotBaseline, IndexError):
+        except (ValueError, IndexError):  # NotBaseline is a ValueError
             found.append(None)
     out: list[list[np.ndarray] | None] = [None if x is None else [None] * len(x) for x in found]
     alike: dict[tuple, list[tuple[int, int]]] = {}
@@ -251,7 +262,7 @@ def _decode(group: list[tuple[int, int, Picture, bytes]]) -> list[tuple[int, int
     except KeyError:
         return [(i, k, None) for i, k, _, _ in group]
     units = len(order)
-    grown, begins, counts, shapes = [], [], [], []
+    grown, begins, stops, counts, shapes = [], [], [], [], []
     base = 0
     for _, _, p, data in group:
         plain, begin = intervals(np.frombuffer(data, np.uint8)[p.scan[0] : p.scan[1]])
@@ -259,24 +270,29 @@ def _decode(group: list[tuple[int, int, Picture, bytes]]) -> list[tuple[int, int
         across, down = -(-p.width // (8 * hmax)), -(-p.height // (8 * vmax))
         all_units = across * down
         step = p.interval or all_units
-        count = np.minimum(step, all_units - np.arange(0, all_units, step)) * units
-        shapes.append((across, down, len(count), len(begin) - 1))
+        # A block takes two bits at least, one for each of its codes.
+        fits = 2 * units * all_units <= 8 * len(plain) and len(begin) - 1 == -(-all_units // step) and p.components[0].quant in p.quants
+        if not fits:
+            shapes.append(None)
+            continue
+        counts.append(np.minimum(step, all_units - np.arange(0, all_units, step)) * units)
+        shapes.append((across, down, int(counts[-1].sum())))
         grown.append(plain)
-        begins.append(begin[: len(count)] + base)
-        counts.append(count if len(begin) - 1 >= len(count) else count[: len(begin) - 1])
+        begins.append(begin[:-1] + base)
+        stops.append(begin[1:] + base)
         base += len(plain)
     try:
-        levels = walk(np.concatenate(grown), np.concatenate([b[: len(c)] for b, c in zip(begins, counts, strict=True)]), np.concatenate(counts), order)
+        levels = walk(*(np.concatenate([np.zeros(0, x), *y]) for x, y in ((np.uint8, grown), (np.int64, begins), (np.int64, stops), (np.int64, counts))), order)
     except NotBaseline:
         return [(i, k, None) for i, k, _, _ in group] if len(group) == 1 else [x for g in group for x in _decode([g])]
     out, at = [], 0
-    for (i, k, p, _), (across, down, wanted, there), count in zip(group, shapes, counts, strict=True):
-        rows = levels[at : at + len(count)]
-        at += len(count)
-        if wanted != there or p.components[0].quant not in p.quants:
+    for (i, k, p, _), shape in zip(group, shapes, strict=True):
+        if shape is None:
             out.append((i, k, None))
             continue
-        flat = rows.ravel() if (count == rows.shape[1]).all() else np.concatenate([r[:n] for r, n in zip(rows, count.tolist(), strict=True)])
+        across, down, n = shape
+        flat = levels[at : at + n]
+        at += n
         luma = p.components[0]
         h, v = (1, 1) if single else (luma.h, luma.v)
         grid = flat.reshape(down, across, units)[:, :, : h * v].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
