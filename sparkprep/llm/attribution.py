@@ -7,8 +7,8 @@ would not give. Documents don't meet, so nothing is shuffled, and a task holds a
 
 Parts are given as fields, which lie one after another with a separator that belongs to the field before it, or found as
 sections: a section ends after each ``separator``. Null fields are empty. A document without text has one section of
-nothing. Repeated rows are rows of their own. The new columns replace any of
-their names. Empty tables give empty results.
+nothing. Repeated rows and ties are rows of their own. Very long texts are encoded whole. The new columns replace any of
+their names, in upper or lower case. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoding, read_ranks
+from .common import without
 from .textnum import slices
 
 
@@ -87,7 +88,7 @@ def _schema(df: DataFrame, keep: list[str]) -> T.StructType:
 def section_tokens(docs: DataFrame, path: str, pattern: str, keep: list[str], separator: str = "\n") -> DataFrame:
     """A row for each section of each text: ``keep``, part (from 0), n_bytes, n_tokens, n_crossing."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    keep = [c for c in keep if c not in NEW]
+    keep = without(keep, NEW)
     mark = separator.encode()
 
     def bounds_of(batch: pa.RecordBatch):
@@ -101,18 +102,23 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, keep: list[str], se
 def field_tokens(docs: DataFrame, fields: list[str], path: str, pattern: str, keep: list[str], separator: str = "\n") -> DataFrame:
     """A row for each of the string columns ``fields`` of each row, which are encoded as one text; columns as above."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    keep = [c for c in keep if c not in NEW]
+    keep = without(keep, NEW)
     mark = separator.encode()
+    # Columns go by place, so that their names can't clash.
+    named = [f"f{i}" for i in range(len(fields))]
 
     def bounds_of(batch: pa.RecordBatch):
-        for values in zip(*(batch.column(f).to_pylist() for f in fields), strict=True):
+        for values in zip(*(batch.column(f).to_pylist() for f in named), strict=True):
             raw = [(v or "").encode() for v in values]
             whole = mark.join(raw)
             ends = np.cumsum([len(r) + len(mark) for r in raw])
             ends[-1] -= len(mark)
             yield whole.decode(), np.append(0, ends)
 
-    run = _count(ranks, pattern, "whole_text", keep, bounds_of)
+    kept = [f"k{i}" for i in range(len(keep))]
+    run = _count(ranks, pattern, "whole", kept, bounds_of)
+    columns = [*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), *(docs[f].alias(n) for f, n in zip(fields, named, strict=True))]
     # The joined length only sizes the slices.
-    whole = docs.select(*dict.fromkeys([*keep, *fields]), F.concat_ws(separator, *fields).alias("whole_text"))
-    return whole.mapInArrow(run, _schema(docs, keep))
+    whole = docs.select(*columns, F.concat_ws(separator, *(docs[f] for f in fields)).alias("whole"))
+    schema = T.StructType([*(T.StructField(k, docs.schema[c].dataType) for c, k in zip(keep, kept, strict=True)), *(T.StructField(c, T.LongType()) for c in NEW)])
+    return whole.mapInArrow(run, schema).toDF(*keep, *NEW)
