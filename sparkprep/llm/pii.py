@@ -1,24 +1,34 @@
 """Personal data: fixed forms, and more of it found by the contexts those stand in.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers of a strict form. They are the seeds of a
-bootstrap. Each seed induces lexical patterns: the two words on its left, the one, or the one and the word on its right.
-Spark builds the graph of patterns and instances (whole corpus, summed by task first), and counts how often each pattern
-occurs at all. Then, in turns, a pattern's confidence is the reliability of the instances it goes with over its
-occurrences, and a candidate's reliability is that one of its patterns at least is right. A candidate is a string of
-identifier-like form that isn't a base span: a number that fails its check, a phone number without a plus. In the end the
-candidates whose own context reaches ``accept`` become spans of the pattern's kind.
-
-A pattern needs ``support`` different seeds and a share ``rare`` of its kind's seeds; so at most 1 / rare patterns of each kind
-and shape are kept and broadcast, whatever the corpus's size. Words such as "the" precede many seeds, and far more other
-words, so their confidence is nearly nought.
-
-Null text is empty and has no spans. Offsets are in code points. Repeated rows and equal texts have equal spans; repeated
-instances count once for support. Empty tables give empty results; other columns pass.
+bootstrap. Each span induces lexical patterns: the word on its left, the two words there, or the one and the word on its
+right. A candidate is a string of identifier-like form that isn't a base span: a number that fails its check, a phone
+number without a plus; it may be of several kinds. Spark builds the graph of patterns and instances (whole corpus, summed by
+task first), and counts how often each pattern occurs at all. Then, in turns:
+
+* a pattern that ``support`` different trusted instances stand in has a confidence: the reliability of the instances it goes
+  with over all its occurrences;
+* an instance's reliability is that one of its patterns at least is right; from ``accept`` on it is trusted like a seed, so
+  that in the next turn it makes patterns of its own.
+
+In the end the candidates whose own contexts reach ``accept`` become spans of the kind that fits best. Words such as "the"
+precede many seeds, and far more other words, so their confidence is nearly nought.
+
+All patterns of enough instances are scored, however many the corpus has: the graph stays in Spark. What goes to all tasks is a
+bitmap of 2**23 bits that tells which contexts to count (the join after it is exact), and the patterns' confidences if there
+are at most ``FEW`` of them; beyond that, candidates are joined with the patterns in Spark.
+
+Null text is empty and has no spans. Offsets are in code points. Very long texts are read whole. Repeated rows and equal texts
+have equal spans; repeated instances count once for support; of kinds that score the same, the first one listed wins. Empty
+tables give empty results; other columns pass.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, without
 from .textnum import LOWER, U64, mix, slices, span_hashes, view, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,10 +50,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 REGION = re.compile(r"[0-9][0-9 .-]*")
-#: Forms of candidates.
-NUMBER = re.compile(r"[0-9(][0-9 ().-]{5,40}[0-9]")
-ADDRESS = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}")
+#: The form of candidates: runs of digits and what may stand between them.
+NUMBER = re.compile(r"[0-9(][0-9 ().-]*[0-9]")
 RUN = re.compile(r"[^ \t-\r]+")
+#: Bits of the map of contexts, and how many patterns are sent to all tasks.
+BITS, FEW = 1 << 23, 1 << 17
 
 Span = tuple[int, int, int]  # start, end, index of the kind
 
@@ -94,31 +105,70 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def _kind_of(text: str) -> int | None:
-    """Of a candidate, by its form."""
+def kinds_of(text: str) -> list[int]:
+    """Those that a candidate may be of, by its form."""
     if "@" in text:
-        return 0
-    if re.fullmatch(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}", text):
-        return 1
+        return [0]
     n = len(_digits(text))
-    if 12 <= n <= 19 and not re.search(r"[().]", text):
-        return 2
-    return 3 if 7 <= n <= 15 else None
+    form = {
+        1: re.fullmatch(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}", text),
+        2: 12 <= n <= 19 and not re.search(r"[().]", text),
+        3: 7 <= n <= 15,
+    }
+    return [k for k, fits in form.items() if fits]
+
+
+def _gaps(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The ranges that no span covers; spans come by start."""
+    at = 0
+    for s, e in taken:
+        if s > at:
+            yield at, s
+        at = max(at, e)
+    if at < len(text):
+        yield at, len(text)
 
 
-def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Strings of an identifier's form that overlap no base span and not each other."""
-    out: list[Span] = []
-    taken = [(s, e) for s, e, _ in base]
-    for form in (ADDRESS,) * ("@" in text) + (NUMBER,):
-        for m in form.finditer(text):
-            s, e = m.span()
-            if any(s < b and a < e for a, b in taken) or (kind := _kind_of(m.group())) is None:
-                continue
-            if s and text[s - 1].isalnum() or e < len(text) and text[e].isalnum():
-                continue
-            out.append((s, e, kind))
-            taken.append((s, e))
+def _divided(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A run of digit groups, as numbers: itself if it has at most 19 digits; else, as its groups repeat, by the longest such
+    repetition of at most 19 digits; else by its groups.
+    """
+    if sum(c.isdigit() for c in text[start:end]) <= 19:
+        yield start, end
+        return
+    groups = [(m.start(), m.end()) for m in re.finditer("[^ ]*[0-9]", text[start:end])]
+    size = [len(_digits(text[start + a : start + b])) for a, b in groups]
+    period = 1
+    for p in range(2, min(20, len(groups))):
+        if len(groups) % p == 0 and sum(size[:p]) <= 19 and size[p:] == size[:-p]:
+            period = p
+    for i in range(0, len(groups), period):
+        yield start + groups[i][0], start + groups[i + period - 1][1]
+
+
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int, list[int]]]:
+    """(start, end, kinds) of strings of an identifier's form that overlap no base span and not each other, by start."""
+    out: list[tuple[int, int, list[int]]] = []
+    taken = sorted((s, e) for s, e, _ in base)
+    if "@" in text:
+        for a, b in _gaps(text, taken):
+            for run in re.finditer(r"\S+", text[a:b]):
+                at = a + run.start()
+                parts = run.group().split("@")
+                i = 0
+                while i + 1 < len(parts):
+                    if parts[i] and parts[i + 1]:
+                        e = at + len(parts[i]) + 1 + len(parts[i + 1])
+                        out.append((at, e, [0]))
+                        at, i = e + 1, i + 2
+                    else:
+                        at, i = at + len(parts[i]) + 1, i + 1
+        taken = sorted([*taken, *((s, e) for s, e, _ in out)])
+    for a, b in _gaps(text, taken):
+        for m in NUMBER.finditer(text, a, b):
+            for s, e in _divided(text, *m.span()):
+                if (kinds := kinds_of(text[s:e])) and not (s and text[s - 1].isalnum() or e < len(text) and text[e].isalnum()):
+                    out.append((s, e, kinds))
     return sorted(out)
 
 
@@ -134,28 +184,40 @@ def _combine(shape: int, *parts: np.ndarray) -> np.ndarray:
     return total
 
 
-def _before(text: str, start: int) -> list[str]:
-    return [m.group() for m in RUN.finditer(text, max(0, text.rfind("\n", 0, max(0, start - 200)), start - 200), start)][-2:]
+class Words:
+    """Where the words of a text are."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in RUN.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
 
-def contexts(text: str, span: Span) -> list[int]:
-    """The patterns around a span that stands for one word; the words next to it must be whole."""
-    start, end, _ = span
-    left = _before(text, start) if start and text[start - 1] in " \t\n\v\f\r" else []
-    after = RUN.search(text, end, end + 200) if end < len(text) and text[end] in " \t\n\v\f\r" else None
-    h = [np.array([_hash_word(w)]) for w in left]
-    out = []
-    if h:
-        out.append(_combine(1, h[-1]))
-        if len(h) > 1:
-            out.append(_combine(2, h[-2], h[-1]))
-        if after:
-            out.append(_combine(3, h[-1], np.array([_hash_word(after.group())])))
-    return [int(x.view(np.int64)[0]) for x in out]
+    def hashed(self, i: int) -> np.ndarray:
+        return np.array([_hash_word(self.text[self.starts[i] : self.ends[i]])])
 
+    def contexts(self, start: int, end: int) -> list[int]:
+        """The patterns around a span that stands for one word; it must start where a word starts."""
+        before = bisect.bisect_left(self.starts, start)
+        if not before or before == len(self.starts) or self.starts[before] != start:
+            return []
+        left = self.hashed(before - 1)
+        out = [_combine(1, left)]
+        if before > 1:
+            out.append(_combine(2, self.hashed(before - 2), left))
+        after = bisect.bisect_left(self.starts, end)
+        if after < len(self.starts) and self.ends[after - 1] == end:
+            out.append(_combine(3, left, self.hashed(after)))
+        return [int(x.view(np.int64)[0]) for x in out]
 
-def occurrences(batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, how often): how often the words of each wanted pattern stand there, whatever is between them or follows."""
+
+def _bit(patterns: np.ndarray) -> np.ndarray:
+    return patterns & np.int64(BITS - 1)
+
+
+def occurrences(batch: pa.RecordBatch, wanted: np.ndarray) -> np.ndarray:
+    """The patterns that the words stand in, whatever is between them or follows, as far as their bit is ``wanted``."""
     data, offsets = view(batch.column("text"))
     low = LOWER[data]
     starts, ends, bound = words(low, offsets)
@@ -167,10 +229,28 @@ def occurrences(batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[np.ndarray,
     if len(one) > 2:
         found.append(_combine(3, one[:-2], one[2:])[text[:-2] == text[2:]])
     every = np.concatenate(found).view(np.int64)
-    at = np.searchsorted(wanted, every)
-    at = at[wanted[np.minimum(at, len(wanted) - 1)] == every]
-    n = np.bincount(at, minlength=len(wanted))
-    return wanted[n > 0], n[n > 0]
+    return every[wanted[_bit(every)]]
+
+
+def _occurrences(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little").astype(bool)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            pattern, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n.astype(np.int64))], ["pattern", "n"])
+
+        for batch in slices(batches):
+            held.append(occurrences(batch, bits))
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
 
 
 EDGES = "kind int, pattern long, instance long, seed boolean, n long"
@@ -189,12 +269,15 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             base = base_spans(text)
-            for spans, seed in ((base, True), (candidates(text, base), False)):
-                for s in spans:
-                    value = text[s[0] : s[1]].lower() if s[2] == 0 else _digits(text[s[0] : s[1]])
-                    instance = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
-                    for p in contexts(text, s):
-                        count[s[2], p, instance, seed] += 1
+            spans = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, kinds in candidates(text, base) for k in kinds]
+            if not spans:
+                continue
+            own = Words(text)
+            for s, e, kind, seed in spans:
+                value = text[s:e].lower() if kind == 0 else _digits(text[s:e])
+                instance = int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big", signed=True)
+                for p in own.contexts(s, e):
+                    count[kind, p, instance, seed] += 1
         if len(count) > 100_000:
             yield flush()
             count.clear()
@@ -202,66 +285,83 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def learn(docs: DataFrame, support: int = 3, rare: float = 0.001, rounds: int = 3) -> dict[tuple[int, int], float]:
-    """The confidence of each (kind, pattern) that has enough seeds."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, support: int = 3, rounds: int = 4, accept: float = 0.8) -> DataFrame:
+    """(kind, pattern, confidence) of every pattern that enough trusted instances stand in."""
     edges = docs.select("text").mapInArrow(_edges, EDGES)
-    edges = cut(edges.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n")), "pii-edges")
-    seeds = edges.filter("seed")
-    # Every seed has three patterns at most, so this many instances of each kind at least.
-    least = {r["kind"]: max(support, rare * r["n"]) for r in seeds.groupBy("kind").agg((F.count("*") / 3).alias("n")).collect()}
-    if not least:
-        return {}
-    enough = F.lit(False)
-    for kind, n in least.items():
-        enough = enough | ((F.col("kind") == kind) & (F.col("seeds") >= n))
-    kept = cut(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).filter(enough).select("kind", "pattern"), "pii-patterns")
-    wanted = np.unique(kept.select("pattern").toArrow().column(0).to_numpy())  # 3 / rare of each kind at most
-    if not len(wanted):
-        return {}
-    shared = spark.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
-        for batch in slices(batches):
-            found, n = occurrences(batch, shared.value)
-            total[np.searchsorted(shared.value, found)] += n
-        some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(shared.value[some]), pa.array(total[some])], ["pattern", "n"])
-
-    seen = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("seen"))
-    # A span of several words counts for its context as well.
-    seen = cut(seen, "pii-seen")
-    graph = edges.join(kept, ["kind", "pattern"])
-    graph = cut(graph, "pii-graph")
-    trust = F.when(F.col("seed"), 1.0).otherwise(0.0)
-    scored = graph.withColumn("trust", trust)
-    patterns = kept
-    for _ in range(rounds):
-        right = scored.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("trust")).alias("right"))
-        patterns = cut(
-            right.join(seen, "pattern", "left").select(
-                "kind", "pattern", (F.col("right") / F.greatest("right", F.coalesce("seen", "right"), F.lit(1))).alias("confidence")
-            ),
-            "pii-confidence",
-        )
-        doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
-        reliable = graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("reliable"))
-        scored = graph.join(reliable, ["kind", "instance"]).withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.col("reliable")))
-    return {(r["kind"], r["pattern"]): r["confidence"] for r in patterns.filter("confidence > 0.01").collect()}
+    sure, other = (F.sum(F.when(F.col("seed") == v, F.col("n")).otherwise(0)).alias(c) for v, c in ((True, "sure"), (False, "other")))
+    edges = cut(edges.groupBy("kind", "pattern", "instance").agg(sure, other), "pii-edges")
+    many = edges.groupBy("kind", "pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= support).select("kind", "pattern")
+    many = cut(many, "pii-patterns")
+    # What else the words of those patterns stand before.
+    bit = F.col("pattern").bitwiseAND(BITS - 1)
+    bits = many.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pattern & {BITS - 1} & 63 as int))")).alias("bits"))
+    wanted = np.zeros(BITS // 64, np.int64)
+    for r in bits.toArrow().to_pylist():  # a row for each 64 bits of the map
+        wanted[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    seen = docs.select("text").mapInArrow(_occurrences(shared), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("seen"))
+    seen = cut(seen.join(many.select("pattern").distinct(), "pattern", "left_semi"), "pii-seen")
+    shared.destroy()
+    graph = cut(edges.join(many, ["kind", "pattern"]).join(seen, "pattern", "left"), "pii-graph")
+    # Seeds are trusted; of the rest nothing is known yet.
+    scored = graph.withColumn("reliable", F.lit(0.0))
+    for i in range(rounds):
+        trusted = (F.col("sure") > 0) | (F.col("reliable") >= accept)
+        right = F.sum(F.col("sure") + F.col("other") * F.col("reliable"))
+        patterns = scored.groupBy("kind", "pattern").agg(F.count(F.when(trusted, 1)).alias("m"), right.alias("right"), F.max("seen").alias("seen"))
+        # A span of several words counts for its context as well.
+        confidence = F.col("right") / F.greatest("right", F.coalesce("seen", "right"), F.lit(1))
+        patterns = cut(patterns.filter(F.col("m") >= support).select("kind", "pattern", confidence.alias("confidence")), "pii-confidence")
+        if i < rounds - 1:
+            doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
+            reliable = graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("reliable"))
+            scored = graph.join(reliable, ["kind", "instance"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(0.0)))
+    return patterns.filter("confidence > 0.01")
+
+
+def asked(text: str, base: list[Span]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(start, end, kind, patterns) of the candidates, for each kind that one may be of."""
+    if found := candidates(text, base):
+        own = Words(text)
+        for s, e, kinds in found:
+            patterns = own.contexts(s, e)
+            yield from ((s, e, k, patterns) for k in kinds)
+
+
+def best(scores: dict[tuple[int, int], tuple[float, int]], span: tuple[int, int], score: float, kind: int) -> None:
+    """Keeps the kind that scores best, of equal ones the first."""
+    scores[span] = max(scores.get(span, (0.0, 0)), (score, -kind))
 
 
 def more_spans(text: str, base: list[Span], confidence: dict[tuple[int, int], float], accept: float) -> list[Span]:
-    if not confidence:
-        return []
-    out = []
-    for s in candidates(text, base):
-        doubt = 1.0
-        for p in contexts(text, s):
-            doubt *= 1 - confidence.get((s[2], p), 0.0)
-        if 1 - doubt >= accept:
-            out.append(s)
-    return out
+    scores: dict[tuple[int, int], tuple[float, int]] = {}
+    for s, e, kind, patterns in asked(text, base) if confidence else ():
+        best(scores, (s, e), 1 - math.prod(1 - confidence.get((kind, p), 0.0) for p in patterns), kind)
+    return [(s, e, -k) for (s, e), (score, k) in scores.items() if score >= accept]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows = [
+            (row, s, e, kind, p)
+            for row, text in zip(batch.column("__pii_row").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            for s, e, kind, patterns in asked(text or "", base_spans(text or ""))
+            for p in patterns
+        ]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["__pii_row", "start", "end", "kind", "pattern"])
+
+
+def _joined(docs: DataFrame, patterns: DataFrame, accept: float) -> DataFrame:
+    """``docs`` with __pii_more: the spans that ``more_spans`` would find, by a join of the candidates' contexts with the patterns."""
+    rows = cut(docs.withColumn("__pii_row", F.monotonically_increasing_id()), "pii-rows")
+    ask = rows.select("__pii_row", "text").mapInArrow(_asked, "__pii_row long, start long, end long, kind int, pattern long")
+    doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-15)))))
+    scored = ask.join(patterns, ["kind", "pattern"]).groupBy("__pii_row", "start", "end", "kind").agg((1 - doubt).alias("score"))
+    kind = F.max_by(F.col("kind"), F.struct("score", -F.col("kind"))).alias("kind")
+    found = scored.filter(F.col("score") >= accept).groupBy("__pii_row", "start", "end").agg(kind)
+    found = found.groupBy("__pii_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("__pii_more"))
+    return rows.join(found, "__pii_row", "left").drop("__pii_row")
 
 
 def written(spans: list[Span]) -> str:
@@ -271,21 +371,29 @@ def written(spans: list[Span]) -> str:
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
 
 
-def find(docs: DataFrame, accept: float = 0.8, redact: bool = False, keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, accept: float = 0.8, redact: bool = False, keep: list[str] | None = None, few: int = FEW) -> DataFrame:
     """``keep`` (all columns unless given) with the counts of base spans, base_sha256, spans (all), and redacted.
 
     The new columns replace any of their names. redacted is the text with each span replaced by its kind in brackets, null unless ``redact``.
+    few: so many patterns at most are sent to all tasks.
     """
     new = [c.split()[0] for c in FOUND.split(", ")]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    confidence = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    keep = without(docs.columns if keep is None else keep, [*new, "__pii_row", "__pii_more"])
+    patterns = learn(docs, accept=accept)
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
+    known = patterns.limit(few + 1).collect()
+    if joined := len(known) > few:
+        docs, known = _joined(docs, patterns, accept), []
+    confidence = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["pattern"]): r["confidence"] for r in known})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
+            more = batch.column("__pii_more").to_pylist() if joined else itertools.repeat(None, batch.num_rows)
+            for text, found in zip(batch.column("text").to_pylist(), more, strict=True):
                 base = base_spans(text or "")
-                spans = base + more_spans(text or "", base, confidence.value, accept)
+                found = [(x["start"], x["end"], x["kind"]) for x in found or ()] if joined else more_spans(text or "", base, confidence.value, accept)
+                spans = base + found
                 counts = [sum(s[2] == k for s in base) for k in range(4)]
                 clean = redacted(text, spans) if redact and text is not None else None
                 rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), clean))
@@ -294,7 +402,7 @@ def find(docs: DataFrame, accept: float = 0.8, redact: bool = False, keep: list[
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *new])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(FOUND).fields])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
