@@ -1,8 +1,8 @@
 """I-Match fingerprints with randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: those in at least ``rare`` and at most
-``common`` of all texts. A text keeps its distinct terms that the lexicon has, sorted, and hashes several random subsets
-of the lexicon: ``SUBSETS`` has how many at the rates 1/2, 1/4, 1/8 and so on. Large subsets tell near copies apart; small
+``common`` of all texts. A text keeps its distinct terms that the lexicon has and, so that texts of rare or common words alone
+have a fingerprint too, the ``OTHERS`` further ones of the least hashes; sorted, they give the hashes of several random subsets: ``SUBSETS`` has how many at the rates 1/2, 1/4, 1/8 and so on. Large subsets tell near copies apart; small
 ones, which are more, still match between half-rewritten texts, whatever their length. A fingerprint is a string of four hexadecimal digits for each subset;
 0000 is a subset without terms of the text. The likeness of two fingerprints is the share of equal hashes among the
 subsets that either of them has terms in.
@@ -11,8 +11,10 @@ A lexicon has at most (mean distinct terms of a text) / ``rare`` terms, 8 bytes
 bounds what is broadcast. Document frequencies are counted over all texts: each task sums its own terms first, so a hot
 term is a few rows of the shuffle.
 
-A text with fewer than ``FEW`` lexicon terms takes all its distinct terms. A text without words, or null, has a fingerprint
-of zeros, and is like another one without words (1.0), and unlike any other (0.0).
+A text without words, or null, has a fingerprint of zeros, and is like another one without words (1.0), and unlike any other
+(0.0). Very long texts are hashed whole, a part of their terms at a time.
+Repeated rows and equal texts have equal fingerprints. Empty tables give empty results; ``fingerprints`` keeps other columns
+(a fingerprint is replaced), ``edited_neighbours`` ignores them.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql import types as T
 
 from .common import shuffle_partitions
-from .textnum import LOWER, U64, mix, slices, span_hashes, view, words
+from .textnum import LOWER, U64, mix, powers, slices, span_hashes, view, words
 
-SUBSETS, FEW = (2, 2, 4, 8, 16, 16, 24, 24), 8
+SUBSETS, OTHERS = (2, 2, 4, 8, 16, 16, 24, 24), 12
 _SEEDS = mix(np.arange(1, sum(SUBSETS) + 1, dtype=U64))
-#: A term belongs to a subset if the top bits of its own draw are zero, as many as the subset's level.
-_SHIFTS = U64(64) - np.repeat(np.arange(1, len(SUBSETS) + 1, dtype=U64), SUBSETS)
+#: A term belongs to a subset if its own draw is below this: the top bits are zero, as many as the subset's level.
+_BELOW = U64(1) << (U64(64) - np.repeat(np.arange(1, len(SUBSETS) + 1, dtype=U64), SUBSETS))
 
 
 def terms(texts: pa.Array) -> list[np.ndarray]:
@@ -46,22 +48,25 @@ def terms(texts: pa.Array) -> list[np.ndarray]:
 
 
 def codes(own: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """16 bits for each subset; own is sorted and distinct."""
+    """16 bits for each subset: a polynomial over its terms in their order. own is sorted and distinct, as is the lexicon."""
+    total, used = np.zeros(len(_SEEDS), U64), np.zeros(len(_SEEDS), np.int64)
+    kept = np.zeros(len(own), bool)
     if len(lexicon):
-        at = np.searchsorted(lexicon, own)
-        kept = own[lexicon[np.minimum(at, len(lexicon) - 1)] == own]
-    else:
-        kept = own[:0]
-    if len(kept) < FEW:
-        kept = own
-    total, used = np.zeros(len(_SEEDS), U64), np.zeros(len(_SEEDS), bool)
+        kept = lexicon[np.minimum(np.searchsorted(lexicon, own), len(lexicon) - 1)] == own
+    kept[np.flatnonzero(~kept)[:OTHERS]] = True
+    kept = own[kept]
+    power = powers(len(kept))[0]
     for part in np.array_split(kept, len(kept) // 4096 + 1):  # bounded memory for very long texts
-        draw = mix(part[:, None] ^ _SEEDS[None, :])
-        inside = (draw >> _SHIFTS[None, :]) == 0
-        total += np.where(inside, draw, U64(0)).sum(0, dtype=U64)
-        used |= inside.any(0)
+        draw = mix(part[None, :] ^ _SEEDS[:, None])
+        at = np.flatnonzero(draw < _BELOW[:, None])  # by subset, then in the order of the terms
+        n = np.bincount(at // len(part), minlength=len(_SEEDS)) if len(part) else np.zeros(len(_SEEDS), np.int64)
+        end = np.cumsum(n)
+        place = np.arange(len(at)) - np.repeat(end - n - used, n)
+        sums = np.append(U64(0), np.cumsum(draw.ravel()[at] * power[place], dtype=U64))
+        total += sums[end] - sums[end - n]
+        used += n
     short = (mix(total) >> U64(48)).astype(np.uint16)
-    return np.where(used, np.maximum(short, np.uint16(1)), np.uint16(0))
+    return np.where(used > 0, np.maximum(short, np.uint16(1)), np.uint16(0))
 
 
 def text_of(code: np.ndarray) -> str:
@@ -154,11 +159,15 @@ def fingerprints(docs: DataFrame, rare: float = 0.0005, common: float = 0.05) ->
     """``docs`` (text and any columns) with the column fingerprint."""
     lex = docs.sparkSession.sparkContext.broadcast(lexicon(docs, rare, common))
 
-    @pandas_udf("string")
-    def mark(texts):
-        return texts.map(lambda t: text_of(codes(terms(pa.array([t], pa.string()))[0], lex.value)))
+    docs = docs.drop("fingerprint")
+    names = docs.columns
 
-    return docs.withColumn("fingerprint", mark(F.coalesce("text", F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            marks = [text_of(codes(own, lex.value)) for own in terms(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], [*names, "fingerprint"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def edited_neighbours(docs: DataFrame, rare: float = 0.0005, common: float = 0.05) -> DataFrame:
