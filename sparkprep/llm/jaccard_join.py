@@ -8,27 +8,35 @@ Relations between sets let the join skip most of its work:
 
 * Equal sets are one node, with one row in the index.
 * First, each set in an index list is held against the list's leader only, the set that has the shingle earliest (an original
-  comes before its edited copies, whose new shingles are rare). What links to the leader is one component, whose members
-  need no comparison with each other: their answers follow from the leader's.
-* Then lists that still hold several components are walked through in blocks of equal size, ordered by position. Sizes out of
-  range, blocks whose position leaves too little overlap, and sets of the same component are skipped. Maps of the parity of
-  hashes bound the symmetric difference from below: one of 128 bits in the lists, then one of about as many bits as the set
-  has shingles drop nearly all other pairs before whole sets are compared.
-
-Every skipped pair either is in one component already or cannot link, so components are exact. Pairs are verified on whole
-sets of 64-bit shingle hashes.
+  comes before its edited copies, whose new shingles are rare). The answer is kept whole: whether they link, how many
+  shingles differ, and which. What links to leaders is in one component, whose members need no comparison with each other.
+* Lists that still hold several components are then walked through in blocks of equal size, ordered by position. Sizes out of
+  range, blocks whose position leaves too little overlap, and sets of the same component are skipped. Of two sets with
+  answers from one leader, the difference is at least that of their distances, which skips most of a leader's far copies.
+  Maps of the parity of hashes bound the difference of any two from below: of 128 bits first, then of about as many
+  bits as the set has shingles. So only pairs that nearly link leave a list, and there are as few of those as of links.
+* The answers of sets with one leader are derived from the leader's: two sets differ in what sets either of them apart from
+  the leader, but not both. So those small differences are compared, and no whole set is looked at again.
+
+Every skipped pair either is in one component already or cannot link, so components are exact. Other pairs are verified on
+whole sets of 64-bit shingle hashes.
+
+No list has to fit in a task. Its length is counted by a sum that tasks begin before they shuffle; a list of more than ``LIST``
+rows is dealt into chunks by hash, and each two chunks meet in a task of their own. A set's wide map is sent once to each part
+of the lists, not with each row.
 
 Shingles count as frequent by counts over all documents: tasks report those they hold more than once; the ones kept have at
 least one in 2**20 of all occurrences, so there are at most 2**20 of them (16 MB), which bounds what is broadcast.
 
-Documents without words or text are sets of nothing and link with nothing. Repeated rows and equal texts are in one component.
-Rows of one id count as one document; rows with a null id are left out of links and have a null component. Empty tables
-give empty results; other columns are ignored.
+Documents without words or text are sets of nothing and link with nothing. Repeated rows, ties and equal texts are in one
+component. A very long text is a set like any other, held in memory whole. Rows of one id count as one document; rows with
+a null id are left out of links and have a null component. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +50,8 @@ from .textnum import U64, release, shingles, slices, view
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000  # shingles that a task counts at a time
+LIST = 50_000  # rows of a list that meet in one task
+LONG, UNITS = 1_000, 100_000  # a list's rows from which on it is walked by component; rows of lists walked at a time
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -49,17 +59,20 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def parity(s: np.ndarray, bits: int) -> bytes:
-    """For each value of the leading bits of a hash, whether an odd number of the set's shingles has it."""
-    at = (s >> U64(64 - bits.bit_length() + 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+    """For each value of the low bits of a hash, whether an odd number of the set's shingles has it."""
+    at = (s & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference; the longer map is folded to the shorter one's leading bits."""
-    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y))
-    size = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(v.reshape(size, -1), axis=1) for v in (a, b))
-    return int((a ^ b).sum())
+    """A lower bound of the symmetric difference; the longer map is folded to the lower bits that the shorter one has."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)
+    while size > len(y):
+        size //= 2
+        a = (a >> 8 * size) ^ (a & (1 << 8 * size) - 1)
+    return (a ^ b).bit_count()
 
 
 def _repeated(k: int):
@@ -121,7 +134,7 @@ def _sets(k: int, percent: int, hot):
                     rank = np.where(token[at] == s, often[at], 0)
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(n, percent)]].view(np.int64))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                short = np.frombuffer(parity(s, 128), ">i8")
+                short = np.frombuffer(parity(s, 128), "<i8")
                 rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *short.tolist(), parity(s, max(8, 1 << n.bit_length()))))
             n, *rest = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefixes])), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
@@ -133,89 +146,106 @@ def _sets(k: int, percent: int, hot):
     return run
 
 
-POSTINGS = "token long, id long, n int, pos int"
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index lists of at least two sets; rows come by token. A list that crosses batches has its last row held back."""
-    back: pa.RecordBatch | None = None
-    joined = False  # the row held back belongs to a list of two at least
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if back is not None:
-            batch = pa.Table.from_batches([back, batch]).combine_chunks().to_batches()[0]
-        token = batch.column("token").to_numpy(zero_copy_only=False)
-        same = token[1:] == token[:-1]
-        keep = np.append(same, False) | np.append(False, same)
-        keep[0] |= joined and back is not None
-        joined = bool(keep[-1])
-        back = batch.slice(batch.num_rows - 1)
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-    if back is not None and joined:
-        yield back
-    release()
+#: token is null in the rows that bring the wide map of a set.
+DEALT = "part int, token long, one int, two int, own int, id long, n int, pos int, b0 long, b1 long, label long, ref long, d int, parity binary"
+
+
+class _Near:
+    """Finds the pairs of rows of different components that nearly link at least. Rows are of whole units: chunks of a list that meet."""
+
+    def __init__(self, cols: dict[str, np.ndarray], maps: dict[int, bytes], percent: int):
+        unit = np.cumsum(np.append(True, np.any([cols[c][1:] != cols[c][:-1] for c in ("token", "one", "two")], axis=0)))
+        order = np.lexsort((cols["pos"], cols["n"], unit))
+        self.unit = unit[order]
+        for c, x in cols.items():
+            setattr(self, c, x[order])
+        self.n, self.pos = self.n.astype(np.int64), self.pos.astype(np.int64)
+        self.maps, self.percent = maps, percent
+
+    def test(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The rows i have the smaller sets."""
+        some = (self.label[i] != self.label[j]) & (100 * self.n[i] >= self.percent * self.n[j])
+        i, j = i[some], j[some]
+        n, m = self.n[i], self.n[j]
+        need = -(-self.percent * (n + m) // (100 + self.percent))
+        room = n + m - 2 * need  # how many shingles two sets that link may differ in
+        # Overlap is at most what follows the shared shingle on either side, and itself.
+        some = (n - self.pos[i] >= need) & (m - self.pos[j] >= need)
+        # Two chunks meet to compare what isn't in one of them.
+        some &= (self.one[i] == self.two[i]) | (self.own[i] != self.own[j])
+        some &= (self.ref[i] != self.ref[j]) | (np.abs(self.d[i] - self.d[j]) <= room)
+        some &= np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j]) <= room
+        for x, y, r in zip(self.id[i[some]].tolist(), self.id[j[some]].tolist(), room[some].tolist(), strict=True):
+            if apart(self.maps[x], self.maps[y]) <= r:
+                yield min(x, y), max(x, y)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        begin = np.flatnonzero(np.append(True, self.unit[1:] != self.unit[:-1]))
+        ends = np.append(begin[1:], len(self.unit))
+        long = ends - begin > LONG
+        # A row meets those after it, up to the block of sizes that are too large for it or for its position.
+        most = np.minimum(100 * self.n // self.percent, (self.n - self.pos) * (100 + self.percent) // self.percent - self.n)
+        upto = np.searchsorted(self.unit << 32 | self.n, self.unit << 32 | np.maximum(most, 0), "right")
+        upto[np.repeat(long, ends - begin)] = 0
+        step, some = 1, np.arange(len(upto))
+        while len(some := some[some + step < upto[some]]):
+            yield from self.test(some, some + step)
+            step += 1
+        for a, b in zip(begin[long].tolist(), ends[long].tolist(), strict=True):
+            # Copies of one text fill a long list; only the rows of other components than theirs go through it.
+            names, which = np.unique(self.label[a:b], return_inverse=True)
+            for i in (np.flatnonzero(which != np.bincount(which).argmax()) + a).tolist():
+                at = int(np.searchsorted(self.n[a:b], self.n[i])) + a  # the first row of the size
+                yield from self.test(np.full(b - at, i), np.arange(at, b))
+                yield from self.test(np.arange(a, at), np.full(at - a, i))
 
 
 def _across(percent: int):
-    """Pairs of different components in each list that may link; rows come by token."""
-
-    def pairs_of(ids, n, pos, b0, b1, label, out) -> None:
-        order = np.lexsort((pos, n))
-        ids, n, pos, b0, b1, label = (x[order] for x in (ids, n, pos, b0, b1, label))
-        block = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
-        ends = np.append(block[1:], len(n))
-        sizes = n[block]
-        for i in range(len(ids)):
-            # x is the smaller set. Blocks of larger sizes, up to n / t.
-            for k in range(int(np.searchsorted(sizes, n[i])), int(np.searchsorted(sizes, 100 * n[i] // percent, "right"))):
-                size = int(sizes[k])
-                need = -(-percent * (int(n[i]) + size) // (100 + percent))
-                # Overlap is at most what follows the shared shingle on either side, and itself.
-                if n[i] - pos[i] < need:
-                    continue
-                a = max(int(block[k]), i + 1)
-                b = int(block[k]) + int(np.searchsorted(pos[block[k] : ends[k]], size - need, "right"))
-                if a >= b:
-                    continue
-                other = np.flatnonzero(label[a:b] != label[i]) + a
-                if len(other):
-                    apart = np.bitwise_count(b0[other] ^ b0[i]) + np.bitwise_count(b1[other] ^ b1[i])
-                    other = other[apart <= int(n[i]) + size - 2 * need]
-                    out.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
+    """Pairs of different components that nearly link at least; rows come by part, maps first, then by list and chunks."""
+
+    def emit(out: set[tuple[int, int]]) -> pa.RecordBatch:
+        both = np.array(sorted(out), np.int64).reshape(-1, 2)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        part, maps, out, held, size = None, {}, set(), [], 0
 
-        def work(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = {c: part.column(c).to_numpy() for c in ("token", "id", "n", "pos", "b0", "b1", "label")}
-            token = cols.pop("token")
+        def work() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            cols = {c: t.column(c).to_numpy() for c in ("token", "one", "two", "own", "id", "n", "pos", "b0", "b1", "label", "ref", "d")}
             cols["b0"], cols["b1"] = cols["b0"].view(U64), cols["b1"].view(U64)
-            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            out: list[np.ndarray] = []
-            for a, b in zip(begin.tolist(), np.append(begin[1:], len(token)).tolist(), strict=True):
-                pairs_of(*(c[a:b] for c in cols.values()), out)
-                if sum(x.shape[1] for x in out[-64:]) > 200_000:
+            for pair in _Near(cols, maps, percent).pairs():
+                out.add(pair)
+                if len(out) >= 100_000:
                     yield emit(out)
-                    out.clear()
-            if out:
-                yield emit(out)
-
-        def emit(out: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.unique(np.concatenate(out, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token = batch.column("token").to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(token, token[-1], "left")) if token[0] <= token[-1] else int(np.flatnonzero(token != token[-1]).max(initial=-1)) + 1
-            if last:  # the last list may go on
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
+            keys = [batch.column(c).fill_null(-1).to_numpy() for c in ("part", "token", "one", "two")]
+            # Rows from ``last`` on may go on in the next batch; there the unit, or the part, is still open.
+            begin = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+            turns = np.flatnonzero(np.append(True, keys[0][1:] != keys[0][:-1]))
+            for a, b in itertools.pairwise(np.unique([*turns, begin[-1], batch.num_rows]).tolist()):
+                some, key = batch.slice(a, b - a), tuple(k[a] for k in keys)
+                if held and (key[0] != part or size >= UNITS and key != last):
+                    yield from work()
+                    held, size = [], 0
+                if key[0] != part:
+                    part, maps = key[0], {}
+                plain = some.filter(some.column("token").is_valid())
+                if plain.num_rows < some.num_rows:
+                    m = some.filter(some.column("token").is_null())
+                    maps.update(zip(m.column("id").to_pylist(), m.column("parity").to_pylist(), strict=True))
+                if plain.num_rows:
+                    held.append(plain)
+                    size += plain.num_rows
+                last = tuple(k[b - 1] for k in keys)
         if held:
-            yield from work(pa.Table.from_batches(held))
+            yield from work()
+        if out:
+            yield emit(out)
         release()
 
     return run
@@ -247,18 +277,34 @@ def _close(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose whole sets link; only documents in a pair that their parity maps admit are made into sets."""
-    one = nodes.select(F.col("id").alias("a"), "n", F.col("parity").alias("x"))
-    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    pairs = cut(pairs.join(one, "a").join(two, "b").mapInArrow(_close(percent), "a long, b long"), "close-pairs")
+def _linked(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles that differ in so many link."""
+    both = (n + m - differ) / 2
+    return 100 * both >= percent * (n + m - both)
+
+
+def _answers(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, delta, linked) of ``pairs`` (a, b) by their whole sets: the shingles that one of the two has, and whether they link.
+
+    Only documents in a pair are made into sets.
+    """
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "h1"), "id"), "in-pairs")
     text = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
     full = cut(text.mapInArrow(_full(k), "id long, full array<long>"), "full-sets")
     one = full.select(F.col("id").alias("a"), F.col("full").alias("x"))
     two = full.select(F.col("id").alias("b"), F.col("full").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    rows = pairs.join(one, "a").join(two, "b").withColumn("delta", delta)
+    return rows.select("a", "b", "delta", _linked(F.size("x"), F.size("y"), F.size("delta"), percent).alias("linked"))
+
+
+def _derived(pairs: DataFrame, refs: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with derived: whether they link, from the answers of a leader that both have; null without one."""
+    a = refs.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("ref").alias("ra"), F.col("delta").alias("x"))
+    b = refs.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("ref").alias("rb"), F.col("delta").alias("y"))
+    differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    derived = F.when(F.col("ra") == F.col("rb"), _linked(F.col("n"), F.col("m"), differ, percent))
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", derived.alias("derived"))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,35 +314,55 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     parts = shuffle_partitions(spark)
     hot = spark.sparkContext.broadcast(frequent(docs, k))
     sets = cut(docs.mapInArrow(_sets(k, percent, hot), SETS), "sets")
-    known = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    by_set = known.groupBy("h1", "h2")
-    nodes = by_set.agg(F.min(F.struct("doc_id", "n", "b0", "b1", "parity")).alias("s"))
-    nodes = cut(nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.b0", "s.b1", "s.parity"), "nodes")
+    hot.destroy()
+    by_set = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
+    nodes = by_set.agg(F.min(F.struct("doc_id", "n", "b0", "b1", "parity", "prefix")).alias("s"))
+    nodes = cut(nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.b0", "s.b1", "s.parity", "s.prefix"), "nodes")
 
-    index = by_set.agg(F.min(F.struct("doc_id", "n", "prefix")).alias("s")).select(F.col("s.doc_id").alias("id"), "s.n", F.posexplode("s.prefix").alias("pos", "token"))
-    index = index.select("token", "id", "n", "pos").repartition(parts, "token").sortWithinPartitions("token")
-    lists = cut(index.mapInArrow(_lists, POSTINGS).join(nodes.select("id", "b0", "b1"), "id"), "lists")
+    index = nodes.select("id", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token"))
+    shared = index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
+    lists = cut(index.join(shared, "token"), "lists")
 
     # Each set against the leader of each of its lists.
     leader = lists.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "b0", "b1")).alias("l"))
     met = lists.join(leader, "token").filter(F.col("id") != F.col("l.id"))
     small, large = F.least("n", F.col("l.n")), F.greatest("n", F.col("l.n"))
     need = F.ceil(percent * (small + large) / (100 + percent)).cast("int")
-    apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("l.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("l.b1")))
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("l.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("l.b1")))
     met = met.filter((100 * small >= percent * large) & (F.col("n") - F.col("pos") >= need) & (F.col("l.n") - F.col("l.pos") >= need))
-    met = met.filter(apart <= small + large - 2 * need)
-    pairs = met.select(F.least("id", F.col("l.id")).alias("a"), F.greatest("id", F.col("l.id")).alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
-    first = cut(components(_links(pairs, docs, nodes, k, percent)), "components")
+    met = met.filter(differ <= small + large - 2 * need)
+    one = nodes.select(F.col("id").alias("a"), "n", F.col("parity").alias("x"))
+    two = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    met = met.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct().join(one, "a").join(two, "b")
+    met = cut(met.mapInArrow(_close(percent), "a long, b long"), "met")
+    answers = cut(_answers(met, docs, nodes, k, percent), "answers")
+    first = cut(components(answers.filter("linked").select("a", "b")), "components")
+    # A set's reference is the leader, of those it was held against, that most sets were.
+    led = answers.join(answers.groupBy("b").agg(F.count("*").alias("led")), "b")
+    refs = led.groupBy("a").agg(F.max_by(F.struct("b", "delta"), F.struct("led", -F.size("delta"), "b")).alias("r"))
+    refs = cut(refs.select(F.col("a").alias("id"), F.col("r.b").alias("ref"), "r.delta").join(nodes.select("id", "n"), "id"), "references")
 
     # What is left between components.
-    labelled = lists.join(first, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    labelled = lists.join(first, "id", "left").join(refs.select("id", "ref", F.size("delta").alias("d")), "id", "left")
+    # Without a reference a set is its own.
+    labelled = labelled.withColumns({"label": F.coalesce("component", "id"), "ref": F.coalesce("ref", "id"), "d": F.coalesce("d", F.lit(0))}).drop("component")
     labelled = cut(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    rest = labelled.join(mixed, "token").repartition(parts, "token").sortWithinPartitions("token")
-    more = rest.select("token", "id", "n", "pos", "b0", "b1", "label").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    more = _links(more, docs, nodes, k, percent)
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).filter("x <> y")
+    chunks = F.ceil(F.col("rows") / LIST).cast("int")
+    rest = labelled.join(mixed.select("token", "rows"), "token").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    rest = rest.withColumn("to", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rest = rest.withColumns({"one": F.least("own", "to"), "two": F.greatest("own", "to")})
+    rest = cut(rest.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(parts)).cast("int")), "mixed-lists")
+    names = [c.split()[0] for c in DEALT.split(", ")]
+    maps = rest.select("part", "id").distinct().join(nodes.select("id", "parity"), "id")
+    blank = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in DEALT.split(", ")[1:-1] if c != "id long"]
+    rows = rest.withColumn("parity", F.lit(None).cast("binary")).select(names).unionAll(maps.select("part", "id", "parity", *blank).select(names))
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions(F.col("part"), F.col("token").asc_nulls_first(), "one", "two")
+    more = rows.mapInArrow(_across(percent), "a long, b long").distinct()
+    known = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(_derived(more.join(known, ["a", "b"], "left_anti"), refs, percent), "derived")
+    whole = _answers(more.filter("derived IS NULL").select("a", "b"), docs, nodes, k, percent)
+    more = whole.filter("linked").select("a", "b").unionAll(more.filter("derived").select("a", "b"))
     label = first.select("id", "component")
     more = (
         more.join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left")
