@@ -1,12 +1,14 @@
 """The corpus pipeline: language ID, near-duplicate removal, PII, mixing, and byte-level BPE, over ``documents``.
 
-Each stage works on all that the one before it kept, and is written before the next one reads it.
+Each stage works on all that the one before it kept, and is written before the next one reads it. Stages keep a table's other
+columns, except the last one. Very long texts are handled whole; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkprep.llm import bpe, jaccard_join, langid, mixing, pii
@@ -18,36 +20,62 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go (no letters, no text, a score near chance); a null lang is filled in."""
+    """Documents whose language can't be told go (no letters, null or empty text, a score near chance); a null lang is filled in.
+
+    Repeated rows, ties and rows with a null doc_id are judged alike, by their texts; an empty table stays empty.
+    """
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     said = langid.predict(docs, model)
     kept = said.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with _file and _row, which name a row's file and its place there; a number for each _file).
+
+    What is not read from files is written first.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        placed = docs.select("*", *place)
+    except AnalysisException:
+        placed = cut(docs, "rows").select("*", *place)
+    files = placed.select("_file").distinct()
+    number = F.row_number().over(Window.orderBy("_file"))  # a row for each file
+    return placed, cut(files.withColumn("_number", number.cast("long")), "files")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, a similarity of 0.8 or more) stays, that of the
-    smallest doc_id; rows without an id all stay.
+    """One document of each group of near copies (shingles of five words, a similarity of 0.8 or more) stays: that of the
+    smallest doc_id, of equal ones the first by file and place in it.
+
+    Rows are told apart by file and place, so rows with a null doc_id take part (the last to stay), and different texts under
+    one doc_id both stay. Empty texts and texts without words all stay, and so does an empty table.
     """
-    groups = jaccard_join.join(docs, k=5, percent=80)
-    first = cut(groups.filter("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    placed, files = row_keys(docs)
+    key = (F.col("_number") * (1 << 40) + F.col("_row")).alias("_key")
+    keyed = placed.join(files, "_file")
+    groups = jaccard_join.join(keyed.select(key.alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("component"))
+    named = groups.join(keyed.select(key, "doc_id", "_file", "_row"), "_key")
+    first = named.groupBy("component").agg(F.min_by(F.struct("_file", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("k"))
+    first = cut(first.select("k._file", "k._row"), "first-of-group")
+    return placed.join(first, ["_file", "_row"], "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind in brackets."""
+    """Spans of personal data are replaced by their kind in brackets. Null and empty texts, repeated rows and ties stay as they are."""
     found = pii.find(docs, redact=True)
     return found.withColumns({"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. Null and empty texts are never taken; a null source is one of its own."""
     return mixing.take(docs, WEIGHTS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids (little-endian 32-bit integers), ids_sha256, decoded_sha256."""
+    """doc_id, lang, source, n_tokens, token_ids (little-endian 32-bit integers), ids_sha256, decoded_sha256; a row for each row."""
     path = public_tokenizers.path(RANKS)
     return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], stable=True, digests=True)
 
