@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException
+
 
 class MLToolkitError(Exception):
     """Root of all errors of this library."""
@@ -56,3 +58,7 @@ class ConstantColumnError(ValidationError):
 class TransformerNotFittedError(MLToolkitError):
     def __init__(self, message: str = "nothing has been fitted yet"):
         super().__init__(message)
+
+
+#: What data or arguments cause; a lost executor or a lack of memory is none of these.
+DATA_FAULTS = (MLToolkitError, ValueError, TypeError, LookupError, ArithmeticError, AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException)

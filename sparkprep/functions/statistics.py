@@ -14,6 +14,9 @@ NORMALITY = ["shapiro", "normaltest", "anderson"]
 VARIANCE = ["levene", "bartlett"]
 CORRECTIONS = ["bonferroni", "holm", "fdr_bh", "fdr_by"]
 SHAPIRO_ROWS = 5000
+LEAST_EXPECTED = 5
+#: From which V on an association is small, medium and large, by the lesser dimension less one (3 and more alike).
+V_SIZES = {1: [0.10, 0.30, 0.50], 2: [0.07, 0.21, 0.35], 3: [0.06, 0.17, 0.29]}
 
 
 def _numbers(data) -> np.ndarray:
@@ -137,7 +140,11 @@ def anova(groups: Sequence[tuple[int, float, float]]) -> tuple[float, float, flo
     k, n = len(groups), sum(g[0] for g in groups)
     mean = sum(g[0] * g[1] for g in groups) / n
     between = sum(g[0] * (g[1] - mean) ** 2 for g in groups)
-    within = sum(g[0] * g[2] for g in groups)
+    return anova_from(k, n, between, sum(g[0] * g[2] for g in groups))
+
+
+def anova_from(k: int, n: int, between: float, within: float) -> tuple[float, float, float]:
+    """From the numbers of groups and rows and the sums of squares."""
     eta = between / (between + within) if between + within else math.nan
     if n <= k or k < 2:
         return math.nan, math.nan, eta
@@ -220,31 +227,40 @@ def chi_square(table, correction: bool = True) -> tuple[float, float, int]:
     return stat, tails.chi2_sf(stat, df), df
 
 
-def check_chi2_expected_frequencies(table, min_expected: float = 5) -> dict:
+def check_chi2_expected_frequencies(table, min_expected: float = LEAST_EXPECTED) -> dict:
     e = expected(table)
-    below = float((e < min_expected).mean() * 100)
-    if e.shape == (2, 2) and e.min() < min_expected:
+    return expected_frequencies_from(e.shape, float(e.min()), int((e < min_expected).sum()), min_expected)
+
+
+def expected_frequencies_from(shape: tuple[int, int], least: float, below: int, min_expected: float = LEAST_EXPECTED) -> dict:
+    """From the table's shape, its least expected frequency, and how many are too small."""
+    percent = 100.0 * below / (shape[0] * shape[1])
+    if tuple(shape) == (2, 2) and least < min_expected:
         advice = "use Fisher's exact test"
     else:
-        advice = "chi-square is valid" if below < 20 else "merge rare categories"
-    return {"valid": below < 20, "min_expected": float(e.min()), "percent_below": below, "recommendation": advice}
+        advice = "chi-square is valid" if percent < 20 else "merge rare categories"
+    return {"valid": percent < 20, "min_expected": least, "percent_below": percent, "recommendation": advice}
 
 
 def cramers_v(table, correction: bool = True, bias_correction: bool = False) -> dict:
     t = _table(table)
-    n, (r, c) = t.sum(), t.shape
-    if min(r, c) < 2 or not n:
-        return {"cramers_v": math.nan, "interpretation": "undefined"}
-    chi2 = chi_square(t, correction)[0]
-    if bias_correction:
+    stat, p, _ = chi_square(t, correction) if t.sum() else (math.nan, math.nan, 0)
+    return cramers_v_from(stat, t.sum(), t.shape, bias_correction) | {"pvalue": p}
+
+
+def cramers_v_from(chi2: float, n: float, shape: tuple[int, int], bias_correction: bool = False) -> dict:
+    """From chi-square, the number of rows and the table's shape."""
+    (r, c), least = shape, min(shape) - 1
+    plain = v = math.sqrt(chi2 / (n * least)) if n and least else math.nan
+    if bias_correction and n > 1 and not math.isnan(v):
         phi2 = max(0.0, chi2 / n - (r - 1) * (c - 1) / (n - 1))
-        r, c = r - (r - 1) ** 2 / (n - 1), c - (c - 1) ** 2 / (n - 1)
-        v = math.sqrt(phi2 / (min(r, c) - 1)) if min(r, c) > 1 else 0.0
-    else:
-        v = math.sqrt(chi2 / (n * (min(r, c) - 1)))
-    df = min(t.shape) - 1
-    cuts = [0.1 / math.sqrt(df), 0.3 / math.sqrt(df), 0.5 / math.sqrt(df)]
-    return {"cramers_v": float(v), "interpretation": _size(v, cuts)}
+        left = min(r - (r - 1) ** 2 / (n - 1), c - (c - 1) ** 2 / (n - 1)) - 1
+        v = math.sqrt(phi2 / left) if left > 0 else math.nan
+    size = "undefined" if math.isnan(v) else _size(v, V_SIZES[min(least, 3)])
+    of = {1: "2x2", 2: "3xK"}.get(least, "large")
+    words = "Cannot interpret (invalid table)" if math.isnan(v) else f"{size.capitalize()} effect size for {of} table (V = {v:.3f})"
+    out = {"cramers_v": float(v), "interpretation": size, "description": words, "chi2_statistic": chi2, "bias_correction_applied": bias_correction}
+    return out | ({"cramers_v_uncorrected": plain} if bias_correction else {})
 
 
 def _size(v: float, cuts: list[float]) -> str:

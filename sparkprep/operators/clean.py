@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidMethodError, InvalidStrategyError, ValidationError
 from ..functions import strings
-from ..plans.fused import aggregate, bucket_count, bucket_of, distinct_counts, quantile_bounds
+from ..plans.fused import aggregate, bucket_count, bucket_of, distinct_counts, draw, exact_quantiles, quantile_bounds
 from ..schema import get_string_columns, is_numeric, is_time, kind, number, quoted, validate_columns, validate_numeric_columns
 from .base import FeatureEngineeringBase
 from .profile import DataAnalyzer
@@ -95,8 +95,11 @@ class DataPreprocessor(FeatureEngineeringBase):
             out = df.withColumns({c: _filled(df, c, fill_value) for c in names})
         elif strategy in ("mean", "median"):
             names = [c for c in names if is_numeric(kind(df, c))]
-            q = (lambda x: F.avg(x)) if strategy == "mean" else (lambda x: F.percentile(x, 0.5))
-            got = aggregate(df, {(c,): q(number(df, c)) for c in names}) if names else {}
+            x = {c: number(df, c) for c in names}
+            if strategy == "mean":
+                got = aggregate(df, {(c,): F.avg(v) for c, v in x.items()}) if names else {}
+            else:
+                got = {(c,): q[0] for (c, _), q in exact_quantiles(df, x, [0.5]).items()} if names else {}
             out = df.withColumns({c: F.coalesce(number(df, c), F.lit(got[c,])) for c in names if got[c,] is not None})
         elif strategy == "mode":
             got = aggregate(df, {(c,): F.mode(quoted(c), True) for c in names})
@@ -209,7 +212,10 @@ class DataPreprocessor(FeatureEngineeringBase):
         return self._logged("filter_rows", {"condition": str(made)}, self.df.filter(made), inplace)
 
     def sample_data(self, n: int | None = None, frac: float | None = None, random_state: int | None = None, inplace: bool = False):
-        """Exactly n rows, or the rounded share of them, without replacement; one row if neither is given."""
+        """Exactly n rows, or the rounded share of them, without replacement; one row if neither is given.
+
+        With a seed and a unique ``order_by`` the rows are drawn by a hash of both, so they are the same whatever the partitions.
+        """
         if n is not None and frac is not None:
             raise ValueError("give n or frac, not both")
         if n is not None and n <= 0 or frac is not None and not 0 < frac <= 1:
@@ -218,7 +224,7 @@ class DataPreprocessor(FeatureEngineeringBase):
         k = round(frac * total) if frac is not None else n or 1
         if k > total:
             raise ValidationError(f"{k} rows of {total} can't be sampled")
-        out = self.df.orderBy(F.rand(random_state)).limit(k)
+        out = draw(self.df, k, total, random_state, self.order_by if random_state is not None else [])
         return self._logged("sample_data", {"n": n, "frac": frac, "random_state": random_state}, out, inplace)
 
     # -- outliers
@@ -236,7 +242,7 @@ class DataPreprocessor(FeatureEngineeringBase):
         df = self.df
         names = validate_numeric_columns(df, _list(columns))
         analyzer = DataAnalyzer(df)
-        flags = analyzer.outlier_flags(names, method, multiplier if method == "iqr" else threshold)
+        flags = analyzer.outlier_flags(names, method, multiplier if method == "iqr" else threshold, action == "replace" and replace_with == "median")
         if action == "remove":
             if not flags:
                 return self._logged("handle_outliers", {"columns": names}, df, inplace)

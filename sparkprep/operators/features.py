@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import ConstantColumnError, EmptyDataFrameError, InvalidMethodError, InvalidStrategyError, TransformerNotFittedError
+from ..errors import ConstantColumnError, EmptyDataFrameError, InvalidMethodError, InvalidStrategyError, TransformerNotFittedError, ValidationError
 from ..functions import dates
-from ..plans.fused import aggregate, moments, percentiles
+from ..plans.fused import aggregate, exact_quantiles, moments
 from ..schema import is_time, kind, number, quoted, validate_columns, validate_numeric_columns
 from .base import FeatureEngineeringBase
 
@@ -20,13 +20,17 @@ log = logging.getLogger(__name__)
 SCALERS = ["standard", "minmax", "robust"]
 PARTS = ["year", "month", "day", "dayofweek", "hour", "minute", "quarter"]
 MANY = 100  # dummy columns above which a warning is logged
+LABELS = 1_000_000  # different values that an encoder holds
 MAP_AT_MOST = 1000  # labels that become a literal map; more are joined
 
 
 def _labels(df: DataFrame, column: str) -> list[str]:
-    """The sorted different values as text, without nulls."""
-    rows = df.select(quoted(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct().orderBy("v")
-    return [r["v"] for r in rows.collect()]
+    """The sorted different values as text, without nulls. A fitted encoder holds them all, so there may be ``LABELS`` at most."""
+    rows = df.select(quoted(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+    got = [r["v"] for r in rows.limit(LABELS + 1).collect()]
+    if len(got) > LABELS:
+        raise ValidationError(f"{column!r} has more than {LABELS} different values; an encoder can't hold them")
+    return sorted(got)
 
 
 class FeatureEngineer(FeatureEngineeringBase):
@@ -77,7 +81,7 @@ class FeatureEngineer(FeatureEngineeringBase):
         names = validate_numeric_columns(self.df, columns)
         if not names:
             return self._done(self.df, inplace)
-        got = moments(self.df, names)
+        got = moments(self.df, names, (0.25, 0.5, 0.75) if method == "robust" else (), parts=["count", "mean", "var_pop", "min", "max"])
         if not any(m["count"] for m in got.values()) and self.df.isEmpty():
             raise EmptyDataFrameError
         fitted = {"kind": "scale", "columns": {}}
@@ -160,8 +164,8 @@ class FeatureEngineer(FeatureEngineeringBase):
         if isinstance(bins, (list, tuple)):
             edges = [float(b) for b in bins]
         elif strategy == "quantile":
-            got = self.df.agg(percentiles(x, [i / bins for i in range(bins + 1)]).alias("q")).first()["q"]
-            edges, lowest = sorted(set(got or [])), True
+            got = exact_quantiles(self.df, {column: x}, [i / bins for i in range(bins + 1)])[column, None]
+            edges, lowest = sorted({q for q in got if q is not None}), True
             if len(edges) < 2:
                 raise ConstantColumnError(column)
         else:

@@ -28,7 +28,7 @@ class Outliers:
     low: float
     high: float
     mean: float
-    median: float
+    median: float | None
     count: int = 0
 
 
@@ -105,10 +105,12 @@ class DataAnalyzer(FeatureEngineeringBase):
 
     # -- outliers
 
-    def outlier_flags(self, columns: list[str] | None, method: str, width: float) -> dict[str, Outliers]:
+    def outlier_flags(self, columns: list[str] | None, method: str, width: float, medians: bool = False) -> dict[str, Outliers]:
+        """medians: whether they are wanted where the method doesn't take quartiles anyway."""
         names = get_numeric_columns(self.df) if columns is None else columns
         out = {}
-        for c, m in moments(self.df, names).items() if names else ():
+        shares = [0.25, 0.5, 0.75] if method == "iqr" else [0.5] if medians else []
+        for c, m in moments(self.df, names, shares, parts=["mean", "std"]).items() if names else ():
             x = number(self.df, c)
             if method == "iqr":
                 if m["q"][0] is None:
@@ -122,7 +124,7 @@ class DataAnalyzer(FeatureEngineeringBase):
                     continue
                 low, high = m["mean"] - width * m["std"], m["mean"] + width * m["std"]
                 flag = F.abs((x - m["mean"]) / m["std"]) > width
-            out[c] = Outliers(flag, low, high, m["mean"], m["q"][1])
+            out[c] = Outliers(flag, low, high, m["mean"], m["q"][len(shares) // 2] if shares else None)
         return out
 
     def _detected(self, columns, method: str, width: float) -> dict[str, Outliers]:
@@ -167,7 +169,7 @@ class DataAnalyzer(FeatureEngineeringBase):
     def calculate_vif(self, columns: list[str] | None = None) -> DataFrame:
         """(feature, VIF), largest first: the diagonal of the inverse correlation matrix of mean-filled columns."""
         names = get_numeric_columns(self.df, columns)
-        got = moments(self.df, names) if len(names) > 1 else {}
+        got = moments(self.df, names, (), parts=["mean", "std"]) if len(names) > 1 else {}
         names = [c for c in names if c in got and got[c]["std"]]
         if len(names) < 2:
             return small(self.spark, [], "feature string, VIF double")
@@ -221,7 +223,7 @@ class DataAnalyzer(FeatureEngineeringBase):
         """(column, unique_count, skewness, outlier_percent, strategy, n_bins, priority) of columns that binning would suit."""
         names = get_numeric_columns(self.df)
         unique = distinct_counts(self.df, names)
-        stats = moments(self.df, names) if names else {}
+        stats = moments(self.df, names, (), parts=["count", "g1", "g2"]) if names else {}
         names = [c for c in names if stats[c]["count"] >= 10 and unique[c] >= min_unique]
         flags = self.outlier_flags(names, "iqr", 1.5)
         outside = aggregate(self.df, {(c,): F.count(F.when(o.flag, 1)) for c, o in flags.items()}) if flags else {}
@@ -242,7 +244,7 @@ class DataAnalyzer(FeatureEngineeringBase):
 
     def histogram(self, column: str, bins: int = 30) -> DataFrame:
         """(bin, low, high, n): equal widths between least and greatest; the last bin has its upper end."""
-        m = moments(self.df, [column])[column]
+        m = moments(self.df, [column], (), parts=["count", "min", "max"])[column]
         if not m["count"]:
             return small(self.spark, [], "bin int, low double, high double, n long")
         low, width = m["min"], (m["max"] - m["min"]) / bins or 1.0

@@ -6,7 +6,7 @@ import html
 import json
 
 FORMATS = ["html", "markdown", "json"]
-STYLE = "body{font:15px sans-serif;max-width:70em;margin:2em auto}table{border-collapse:collapse}td,th{border:1px solid #bbb;padding:.3em .6em}th{background:#eee}"
+STYLE = "body{font:15px sans-serif;max-width:70em;margin:2em auto}table{border-collapse:collapse}td,th{border:1px solid #bbb;padding:.3em .6em}th{background:#eee}.callout{border-left:4px solid #c80;padding:.4em}.yes{background:#cfc}.no{background:#fcc}"
 
 
 def _rows(df) -> list[dict]:
@@ -88,25 +88,45 @@ def _title(key: str) -> str:
 
 def _markdown(report: dict) -> str:
     parts = list(_sections(report))
-    out = ["# Target analysis", ""] + [f"- [{_title(k)}](#{k.replace('_', '-')})" for k, _, _ in parts]
+    out = ["# Target analysis", "", "## Table of contents", ""] + [f"- [{_title(k)}](#{k.replace('_', '-')})" for k, _, _ in parts]
     for key, header, rows in parts:
-        out += ["", f"## {_title(key)}", ""]
+        out += ["", f"## {_title(key)}", "", *_callouts(key, report)]
         if header is None:
-            out += [f"> {r[0]}" for r in rows]
+            out += [f"> **Note** {r[0]}" for r in rows]
         else:
             safe = lambda r: "| " + " | ".join(v.replace("|", "\\|") for v in r) + " |"
             out += [safe(header), "|" + "-|" * len(header), *map(safe, rows)]
     return "\n".join(out) + "\n"
 
 
+def _callouts(key: str, report: dict) -> list[str]:
+    """What stands out in a part."""
+    part, out = report[key], []
+    if key == "imbalance" and part["severity"] != "none":
+        out.append(f"> **Warning** classes are unequal ({part['severity']})")
+    if key == "data_quality":
+        out += [f"> **Warning** {len(part[k])} {k.replace('_', ' ')}" for k in ("leakage_suspects", "constant_features") if part[k]]
+    if key == "distribution" and isinstance(part, dict) and part.get("has_outliers"):
+        out.append(f"> **Note** {part['outlier_count']} outliers")
+    return [*out, ""] if out else []
+
+
+def _badge(v: str) -> str:
+    kind = {"True": "yes", "False": "no"}.get(v)
+    return f"<span class='{kind}'>{kind}</span>" if kind else html.escape(v)
+
+
 def _html(report: dict) -> str:
+    parts = list(_sections(report))
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Target analysis</title><style>{STYLE}</style></head><body><h1>Target analysis</h1>"]
-    for key, header, rows in _sections(report):
-        out.append(f"<details open><summary><b>{html.escape(_title(key))}</b></summary>")
+    out.append("<nav><ul>" + "".join(f"<li><a href='#{k}'>{html.escape(_title(k))}</a></li>" for k, _, _ in parts) + "</ul></nav>")
+    for key, header, rows in parts:
+        out.append(f"<details open id='{key}'><summary><b>{html.escape(_title(key))}</b></summary>")
+        out += [f"<p class='callout'>{html.escape(c[2:].replace('**', ''))}</p>" for c in _callouts(key, report) if c]
         if header is None:
             out.append("<ul>" + "".join(f"<li>{html.escape(r[0])}</li>" for r in rows) + "</ul>")
         else:
-            line = lambda r, tag: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in r) + "</tr>"
-            out.append("<table>" + line(header, "th") + "".join(line(r, "td") for r in rows) + "</table>")
+            line = lambda r, tag, text: "<tr>" + "".join(f"<{tag}>{text(v)}</{tag}>" for v in r) + "</tr>"
+            out.append("<table>" + line(header, "th", html.escape) + "".join(line(r, "td", _badge) for r in rows) + "</table>")
         out.append("</details>")
     return "".join(out) + "</body></html>\n"

@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ColumnNotFoundError, DataTypeError, InvalidMethodError
+from ..errors import DATA_FAULTS, ColumnNotFoundError, DataTypeError, InvalidMethodError
 from ..functions import statistics as st
 from ..plans.fused import CORRELATIONS, aggregate, moments, small
 from ..schema import get_feature_columns, is_numeric, kind, number, quoted
@@ -52,7 +52,7 @@ class FeatureSelector(FeatureEngineeringBase):
     def select_by_variance(self, threshold: float = 0.0, exclude: list[str] | None = None) -> list[str]:
         """Population variance above the threshold; the score kept is the sample variance."""
         names = self._features(exclude)
-        got = moments(self.df, names) if names else {}
+        got = moments(self.df, names, (), parts=["var_pop", "var_samp"]) if names else {}
         self.feature_scores["variance"] = {c: got[c]["var_samp"] or 0.0 for c in names}
         kept = [c for c in names if (got[c]["var_pop"] or 0.0) > threshold]
         if names and not kept:
@@ -86,7 +86,7 @@ class FeatureSelector(FeatureEngineeringBase):
         features = self._features()
         try:
             scores = dict(name(self.df, features, y)) if callable(name) else self._scores(name, features, y)
-        except Exception as e:  # a test that can't be made selects nothing
+        except DATA_FAULTS as e:  # a test that can't be made selects nothing
             log.error("the test failed: %s", e)
             return []
         return self._best("custom" if callable(name) else name, scores, k, by_score=False)
@@ -127,7 +127,7 @@ class FeatureSelector(FeatureEngineeringBase):
                 rows = rows.withColumn("index", F.col("label").cast("double"))
                 forest = RandomForestRegressor(labelCol="index", numTrees=n_estimators, seed=random_state)
             found = forest.fit(rows.select("features", "index")).featureImportances.toArray().tolist()
-        except Exception as e:  # a forest that can't grow selects nothing
+        except DATA_FAULTS as e:  # a forest that can't grow selects nothing
             log.error("the forest failed: %s", e)
             return []
         return self._best("importance", dict(zip(features, found, strict=True)), k)

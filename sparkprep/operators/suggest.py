@@ -6,6 +6,7 @@ import logging
 
 from pyspark.sql import functions as F
 
+from ..errors import DATA_FAULTS
 from ..plans.fused import aggregate, corrected, distinct_counts, pair_moments, pearson
 from ..schema import get_feature_columns, is_numeric, kind, number, quoted
 
@@ -24,19 +25,20 @@ ADVICE = {
     "bin": ("Bin into categorical groups", "binning", "medium"),
     "indicator": ("Create missing indicator flag", "missing_values", "minimal"),
 }
-#: Model: (speed, memory, interpretability).
+#: Fixed values, as the results must match: part of a model's name: (speed, memory, interpretability).
 MODELS = {
-    "Random Forest": ("medium", "medium", "medium"),
-    "XGBoost": ("medium", "medium", "low"),
+    "Random Forest": ("fast", "moderate", "medium"),
+    "XGBoost": ("moderate", "moderate", "low"),
     "LightGBM": ("fast", "low", "low"),
     "Logistic Regression": ("fast", "low", "high"),
     "Linear Regression": ("fast", "low", "high"),
-    "Ridge or Lasso Regression": ("fast", "low", "high"),
-    "Huber Regressor": ("fast", "low", "high"),
-    "Support Vector Machine": ("slow", "medium", "low"),
+    "Ridge": ("fast", "low", "high"),
+    "Lasso": ("fast", "low", "high"),
+    "SVM": ("slow", "high", "low"),
     "Neural Network": ("slow", "high", "low"),
-    "Cross-Validation": ("slow", "medium", "high"),
+    "Huber": ("fast", "low", "high"),
 }
+OTHER_MODEL = ("moderate", "moderate", "medium")
 STEEPER = 1.2  # how much better the square must correlate
 
 
@@ -147,7 +149,7 @@ class SuggestionsMixin:
             rows += [("Cross-Validation with multiple models", f"{n} rows: compare several", "high")]
         out = []
         for model, reason, priority in rows:
-            speed, memory, clear = next((v for k, v in MODELS.items() if model.startswith(k)), ("medium",) * 3)
+            speed, memory, clear = next((v for k, v in MODELS.items() if k in model), OTHER_MODEL)
             out.append({"model": model, "reason": reason, "priority": priority, "speed": speed, "memory": memory, "interpretability": clear})
         out.sort(key=lambda r: RANK[r["priority"]])
         if not detailed:
@@ -186,6 +188,6 @@ class SuggestionsMixin:
             high = [r["feature"] for r in (vif_df if vif_df is not None else self.calculate_vif()).filter("VIF > 10").collect()]
             if high:
                 out.append(f"{len(high)} features follow from others (VIF above 10): think of dropping {', '.join(high[:3])}.")
-        except Exception as e:  # advice is given without these two
+        except DATA_FAULTS as e:  # advice is given without these two
             log.debug("no advice from mutual information or VIF: %s", e)
         return out or ["No major issues."]

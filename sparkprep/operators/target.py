@@ -19,6 +19,7 @@ from ..errors import ColumnNotFoundError, InvalidMethodError
 from ..functions import statistics as st
 from ..plans import fused, neighbours
 from ..plans.fused import aggregate, distinct_counts, moments, small
+from ..plans.scratch import cut
 from ..schema import get_feature_columns, is_numeric, kind, number, quoted, validate_columns
 from .base import FeatureEngineeringBase
 from .profile import DataAnalyzer
@@ -109,7 +110,7 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
             self._cache["target"] = {
                 "count": m["count"], "mean": m["mean"], "median": median, "std": m["std"], "min": m["min"], "max": m["max"],
                 "range": m["max"] - m["min"], "q25": q25, "q75": q75, "iqr": spread, "skewness": m["skew"], "kurtosis": m["kurtosis"],
-                "has_outliers": outside > 0, "outlier_count": outside, "shapiro_statistic": w, "shapiro_pvalue": p, "is_normal": bool(p > 0.05),
+                "has_outliers": outside > 0, "outlier_count": outside, "shapiro_stat": w, "shapiro_statistic": w, "shapiro_pvalue": p, "is_normal": bool(p > 0.05),
             }
         return self._cache["target"]
 
@@ -120,17 +121,20 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
     # -- statistics by class
 
     def analyze_class_wise_statistics(self, feature_columns: list[str] | None = None, confidence_level: float = 0.95, include_ci: bool = False, approximate: bool = False) -> DataFrame:
-        """(feature, class, count, mean, median, std, min, max) of all features in one groupBy; lazy without intervals.
+        """(feature, class, count, mean, median, std, min, max) of all features, from one groupBy and the medians' brackets.
 
-        approximate: medians by bounded sketches.
+        approximate: medians by sketches alone; then everything is one lazy groupBy, without intervals.
 
         include_ci adds t intervals of the mean, and percentile bootstrap intervals of the median.
         """
         names = self._numeric_features(feature_columns)
         x = {c: number(self.df, c) for c in names}
-        stats = {"count": F.count, "mean": F.avg, "median": lambda v: F.percentile_approx(v, 0.5, 10_000) if approximate else F.percentile(v, 0.5), "std": F.stddev_samp, "min": F.min, "max": F.max}
-        wide = self.df.filter(self._y.isNotNull()).groupBy(self._y.cast("string").alias("class"))
-        wide = wide.agg(*(F.struct(*(f(x[c]).alias(k) for k, f in stats.items())).alias(f"s{i}") for i, c in enumerate(names)))
+        known = self.df.filter(self._y.isNotNull())
+        exact = {} if approximate or not names else fused.exact_quantiles(known, x, [0.5], self._y)
+        middle = (lambda c: F.percentile_approx(x[c], 0.5, fused.SKETCH)) if approximate else (lambda c: _by_class(self._y, {g: q[0] for (k, g), q in exact.items() if k == c}))
+        stats = {"count": F.count, "mean": F.avg, "median": None, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        wide = known.groupBy(self._y.cast("string").alias("class"))
+        wide = wide.agg(*(F.struct(*((f(x[c]) if f else middle(c)).alias(k) for k, f in stats.items())).alias(f"s{i}") for i, c in enumerate(names)))
         rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s")) for i, c in enumerate(names)))
         out = wide.select("class", F.inline(rows)).select("feature", "class", "s.*").filter("count > 0")
         return self._with_intervals(out, names, confidence_level) if include_ci else out
@@ -158,13 +162,43 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         rows = self.df.filter(g.isNotNull()).groupBy(g).agg(*aggs).collect()
         return {c: [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for r in rows if r[f"n{i}"] >= 2] for i, c in enumerate(names)}
 
-    def _tables(self, names: list[str]) -> dict[str, np.ndarray]:
-        """The contingency table of each column and the target."""
+    def _anova_by(self, group: str) -> tuple[float, float, float, int]:
+        """F, p, eta squared and the number of groups of the target by a column of any number of values, summed in Spark."""
+        y = number(self.df, self.target_column)
+        rows = self.df.select(quoted(group).alias("g"), y.alias("y")).filter("g IS NOT NULL AND y IS NOT NULL")
+        by = rows.groupBy("g").agg(F.count("y").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")).filter("n > 1")
+        n, m = F.col("n"), F.col("m")
+        got = by.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(n * F.col("v")).alias("within"), (F.sum(n * m) / F.sum("n")).alias("mean"))
+        r = got.first()
+        if r["k"] < 2:
+            return math.nan, math.nan, math.nan, r["k"]
+        between = by.agg(F.sum(n * (m - F.lit(r["mean"])) ** 2)).first()[0]
+        return *st.anova_from(r["k"], r["n"], between, r["within"]), r["k"]
+
+    def _tables(self, names: list[str]) -> dict[str, dict]:
+        """What chi-square takes of the contingency table of each column and the target; only totals leave Spark.
+
+        With rows r and classes c of n in all, chi-square is n * (sum over rows of (sum of cell**2 / c) / r) - n. A table of two by two, which
+        takes a correction, comes whole.
+        """
         if not names:
             return {}
         long = fused.unpivoted(self.df.filter(self._y.isNotNull()), names, [self.target_column]).filter("value IS NOT NULL")
-        counts = long.groupBy("name", "value", self._y.cast("string").alias("class")).agg(F.count("*").alias("n")).toPandas()
-        return {c: t.pivot(index="value", columns="class", values="n").fillna(0).to_numpy() for c, t in counts.groupby("name")}
+        cells = cut(long.groupBy("name", "value", self._y.cast("string").alias("class")).agg(F.count("*").alias("n")), "cells")
+        totals = cells.groupBy("name", "class").agg(F.sum("n").alias("c"))  # a row for each class
+        by_row = cells.join(totals, ["name", "class"]).groupBy("name", "value").agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n") / F.col("c")).alias("s"))
+        every = totals.groupBy("name").agg(F.collect_list(F.col("c").cast("double")).alias("cs"), F.sum("c").alias("all"))
+        below = F.size(F.filter("cs", lambda c: c * F.col("r") / F.col("all") < st.LEAST_EXPECTED))
+        got = by_row.join(every, "name").groupBy("name").agg(
+            F.count("*").alias("rows"), F.first(F.size("cs")).alias("classes"), F.first("all").alias("n"), F.sum(F.col("s") / F.col("r")).alias("s"),
+            F.min(F.col("r") * F.array_min("cs") / F.col("all")).alias("least"), F.sum(below).alias("below"),
+        )
+        out = {r["name"]: {"shape": (r["rows"], r["classes"]), "n": r["n"], "chi2": max(0.0, r["n"] * r["s"] - r["n"]), "least": r["least"], "below": r["below"]} for r in got.collect()}
+        square = [c for c, t in out.items() if t["shape"] == (2, 2)]
+        rows = cells.filter(F.col("name").isin(square)).toPandas() if square else pd.DataFrame({"name": []})
+        for c, t in rows.groupby("name"):
+            out[c]["chi2"] = st.chi_square(t.pivot(index="value", columns="class", values="n").fillna(0).to_numpy())[0]
+        return out
 
     def kruskal(self, column: str) -> tuple[float, float]:
         rows = self.df.select(number(self.df, column).alias("x"), self._y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
@@ -177,8 +211,9 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
     def levene(self, column: str) -> tuple[float, float]:
         """Around the classes' medians."""
         rows = self.df.select(number(self.df, column).alias("x"), self._y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-        medians = rows.groupBy("y").agg(F.percentile("x", 0.5).alias("m"))
-        away = rows.join(medians, "y").groupBy("y").agg(F.count("x").alias("n"), F.avg(F.abs(F.col("x") - F.col("m"))).alias("a"), F.var_pop(F.abs(F.col("x") - F.col("m"))).alias("v"))
+        medians = fused.exact_quantiles(rows, {"x": F.col("x")}, [0.5], F.col("y"))
+        rows = rows.join(small(self.spark, [(g, q[0]) for (_, g), q in medians.items()], "g string, m double"), F.col("y").cast("string") == F.col("g"))
+        away = rows.groupBy("y").agg(F.count("x").alias("n"), F.avg(F.abs(F.col("x") - F.col("m"))).alias("a"), F.var_pop(F.abs(F.col("x") - F.col("m"))).alias("v"))
         return st.anova([(r["n"], r["a"], r["v"]) for r in away.collect()])[:2]
 
     def _non_normal(self, names: list[str], alpha: float) -> dict[str, bool]:
@@ -218,10 +253,11 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
                 f, p, eta = st.anova(groups[c])
                 rows.append([c, "anova", f, p, eta, "eta_squared", st._size(eta, [0.01, 0.06, 0.14]) if eta == eta else None, True if check_assumptions else None, ""])
             for c, t in self._tables(other).items():
-                if min(t.shape) < 2:
+                if min(t["shape"]) < 2:
                     continue
-                stat, p, _ = st.chi_square(t)
-                v, valid = st.cramers_v(t), st.check_chi2_expected_frequencies(t)
+                (r, k), stat = t["shape"], t["chi2"]
+                p, v = st.tails.chi2_sf(stat, (r - 1) * (k - 1)), st.cramers_v_from(stat, t["n"], t["shape"])
+                valid = st.expected_frequencies_from(t["shape"], t["least"], t["below"])
                 rows.append([c, "chi_square", stat, p, v["cramers_v"], "cramers_v", v["interpretation"], valid["valid"] if check_assumptions else None, "" if valid["valid"] else valid["recommendation"]])
         else:
             for (c, _), (r, n) in fused.pearsons(self.df, [(c, self.target_column) for c in numeric]).items():
@@ -229,9 +265,8 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
                     size = "small" if abs(r) < 0.3 else "medium" if abs(r) < 0.5 else "large"
                     rows.append([c, "pearson", r, st.correlation_p(r, n), r, "pearson_r", size, None, ""])
             for c in other:
-                got = self._by_class([self.target_column], c)[self.target_column]
-                if len(got) > 1:
-                    f, p, eta = st.anova(got)
+                f, p, eta, groups = self._anova_by(c)
+                if groups > 1:
                     rows.append([c, "anova", f, p, eta, "eta_squared", st._size(eta, [0.01, 0.06, 0.14]) if eta == eta else None, None, ""])
         rows = [r for r in rows if r[3] == r[3]]
         if not report_effect_sizes:
@@ -290,9 +325,9 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         return small(self.spark, sorted(((c, v, v / most) for c, v in mi.items()), key=lambda r: (-r[1], r[0])), schema)
 
     def _binned(self, rows: DataFrame, names: list[str], bins: int) -> dict[str, float]:
-        cut = [i / bins for i in range(1, bins)]
+        shares = [i / bins for i in range(1, bins)]
         bounded = names + ([] if self.task == "classification" else ["_y"])
-        got = aggregate(rows, {(c,): F.percentile(F.col(f"`{c}`"), F.array(*map(F.lit, cut))) for c in bounded})
+        got = {(c,): q for (c, _), q in fused.exact_quantiles(rows, {c: quoted(c) for c in bounded}, shares).items()}
 
         def index(c):
             return sum(((quoted(c) > b).cast("int") for b in sorted(set(got[c,]))), F.lit(0))
@@ -315,8 +350,7 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         scale = {c: stats[c, "std"] or 1.0 for c in names}
         noise = lambda c, i: 1e-10 * max(1.0, stats[c, "size"] / scale[c]) * F.randn(42 + i)
         noisy = (rows.select(F.col("_y").alias("y"), *((quoted(c) / scale[c] + noise(c, i)).alias(f"x{i}") for i, c in enumerate(names))))
-        # Kept once, as the noise must be the same whenever it is read; in the executors where there is no shared folder.
-        noisy = noisy.checkpoint() if self.spark.sparkContext.getCheckpointDir() else noisy.localCheckpoint()
+        noisy = cut(noisy, "noisy")  # the noise must be the same whenever it is read
         return {c: max(0.0, neighbours.ross(noisy.select(F.col(f"x{i}").alias("x"), "y"), k)) for i, c in enumerate(names)}
 
     # -- quality
@@ -337,7 +371,7 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         got = self.df.agg(F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"), F.min(e).alias("min"), F.max(e).alias("max"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), (F.var_pop(both) * F.count(both)).alias("sst")).first().asDict()
         sse, sst = got.pop("sse"), got.pop("sst")
         w, p = st.shapiro(self._sample(e))
-        return {f"residual_{k}" if k in ("mean", "std", "min", "max") else k: v for k, v in got.items()} | {"r2": 1 - sse / sst if sst else math.nan, "shapiro_statistic": w, "shapiro_pvalue": p}
+        return {f"residual_{k}" if k in ("mean", "std", "min", "max") else k: v for k, v in got.items()} | {"r2": 1 - sse / sst if sst else math.nan, "shapiro_stat": w, "shapiro_statistic": w, "shapiro_pvalue": p}
 
     def analyze_data_quality(self) -> dict:
         names = [c for c in self.df.columns if c != self.target_column]
@@ -362,6 +396,12 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         }
 
 
+def _by_class(y, values: dict):
+    """The value of the row's class, as an aggregate."""
+    pairs = [F.lit(v) for g, q in values.items() for v in (g, q)]
+    return F.first(F.create_map(*pairs)[y.cast("string")]) if pairs else F.lit(None).cast("double")
+
+
 def _jittered(x: np.ndarray, seed: int) -> np.ndarray:
     """Scaled, with noise that breaks ties."""
     scale = x.std() or 1.0

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import kind, number, quoted
+from .scratch import cut
 
 #: Aggregates in one job; more are split over several, as generated code has a limit.
 AT_ONCE = 600
@@ -30,34 +33,101 @@ def small(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
 
+SKETCH = 10_000  # the accuracy of sketches: ranks are right to one in so many
+INSIDE = 200_000  # values that a quantile is picked from on the driver
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float], by: Column | None = None) -> dict[tuple, list[float | None]]:
+    """Linearly interpolated quantiles by (column, group), exact however many values there are; the groups of ``by`` are few.
+
+    No task holds all distinct values. Sketches of bounded size bracket each quantile; one more scan counts what lies below the brackets
+    and brings the few values inside them. Where those would be too many, the rows inside are bracketed again.
+    """
+    group = F.lit(None).cast("string") if by is None else by.cast("string")
+    edge = [s for share in shares for s in (max(0.0, share - 2 / SKETCH), min(1.0, share + 2 / SKETCH))]
+    rows = df.select(group.alias("g"), *(x.alias(f"x{i}") for i, x in enumerate(columns.values())))
+    names = list(columns)
+    sketch = [a for i in range(len(names)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.min(f"x{i}").alias(f"l{i}"), F.max(f"x{i}").alias(f"h{i}"), F.percentile_approx(f"x{i}", edge, SKETCH).alias(f"q{i}"))]
+    found = (rows.groupBy("g") if by is not None else rows).agg(*sketch).collect()
+    out: dict[tuple, list] = {}
+    wanted, parts = {}, {}
+    for r in found:
+        g = r["g"] if by is not None else None
+        for i, c in enumerate(names):
+            out[c, g] = [None] * len(shares)
+            for k, share in enumerate(shares):
+                if not (n := r[f"n{i}"]):
+                    continue
+                # The margin of shares is a rank or more only where there are many; and the sketch's ends may miss the least and greatest value.
+                some = n < 2 * SKETCH
+                low = r[f"l{i}"] if some or edge[2 * k] <= 2 / SKETCH else r[f"q{i}"][2 * k]
+                high = r[f"h{i}"] if some or edge[2 * k + 1] >= 1 - 2 / SKETCH else r[f"q{i}"][2 * k + 1]
+                parts[g, i, k] = (share * (n - 1), low, high)
+    at = {}
+    for g in dict.fromkeys(key[0] for key in parts):
+        own = F.lit(True) if g is None else F.col("g") == g
+        for (h, i, k), (_, low, high) in parts.items():
+            if h == g:
+                x = F.col(f"x{i}")
+                inside = own & (x > low) & (x < high)
+                wanted |= {(g, i, k, "below"): F.count(F.when(own & (x < low), 1)), (g, i, k, "low"): F.count(F.when(own & (x == low), 1))}
+                wanted |= {(g, i, k, "in"): F.count(F.when(inside, 1)), (g, i, k, "high"): F.count(F.when(own & (x == high), 1))}
+                at[g, i, k] = inside
+    counts = aggregate(rows, wanted) if wanted else {}
+    few = {key: F.collect_list(F.when(at[key], F.col(f"x{key[1]}"))) for key in parts if 0 < counts[*key, "in"] <= INSIDE and parts[key][1] < parts[key][2]}
+    values = aggregate(rows, few) if few else {}
+
+    def pick(key: tuple, rank: int) -> float:
+        """The value of so many before it."""
+        _, low, high = parts[key]
+        rank -= counts[*key, "below"]
+        if rank < 0:
+            raise ArithmeticError("a sketch's error was above its bound")
+        if rank < counts[*key, "low"]:
+            return low
+        rank -= counts[*key, "low"]
+        if rank < counts[*key, "in"]:
+            if key in values:
+                return sorted(values[key])[rank]
+            # Bracketed again, among the rows inside.
+            m = counts[*key, "in"]
+            return exact_quantiles(rows.filter(at[key]), {"x": F.col(f"x{key[1]}")}, [rank / max(1, m - 1)])["x", None][0]
+        if rank - counts[*key, "in"] >= counts[*key, "high"]:
+            raise ArithmeticError("a sketch's error was above its bound")
+        return high
+
+    for (g, i, k), (place, _, _) in parts.items():
+        low, up = math.floor(place + 1e-9), place - math.floor(place + 1e-9)
+        first = pick((g, i, k), low)
+        out[names[i], g][k] = float(first if up <= 1e-9 else first + (pick((g, i, k), low + 1) - first) * up)
+    return out
+
+
 def percentiles(c: Column, shares: list[float], approximate: bool = False) -> Column:
     """Linearly interpolated; ``approximate`` keeps a bounded sketch instead of all distinct values."""
-    return F.percentile_approx(c, shares, 10_000) if approximate else F.percentile(c, F.array(*map(F.lit, shares)))
+    return F.percentile_approx(c, shares, SKETCH) if approximate else F.percentile(c, F.array(*map(F.lit, shares)))
 
 
-def moments(df: DataFrame, columns: list[str], shares: list[float] = (0.25, 0.5, 0.75), approximate: bool = False) -> dict[str, dict]:
-    """count, mean, std, variances, min, max, skew, kurtosis (bias-corrected) and percentiles of each column, in one job."""
-    wanted: dict[tuple, Column] = {}
-    for c in columns:
-        x = number(df, c)
-        wanted |= {
-            (c, "count"): F.count(x),
-            (c, "mean"): F.avg(x),
-            (c, "std"): F.stddev_samp(x),
-            (c, "var_pop"): F.var_pop(x),
-            (c, "var_samp"): F.var_samp(x),
-            (c, "min"): F.min(x),
-            (c, "max"): F.max(x),
-            (c, "g1"): F.skewness(x),
-            (c, "g2"): F.kurtosis(x),
-            (c, "q"): percentiles(x, list(shares), approximate),
-        }
+PARTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "var_pop": F.var_pop, "var_samp": F.var_samp, "min": F.min, "max": F.max, "g1": F.skewness, "g2": F.kurtosis}
+
+
+def moments(df: DataFrame, columns: list[str], shares: list[float] = (0.25, 0.5, 0.75), approximate: bool = False, parts: list[str] = tuple(PARTS)) -> dict[str, dict]:
+    """count, mean, std, variances, min, max, skew, kurtosis (bias-corrected) and percentiles of each column; only ``parts`` of them.
+
+    Percentiles are exact, from three jobs of bounded memory, unless ``approximate``; no shares, no such jobs.
+    """
+    wanted = {(c, k): PARTS[k](number(df, c)) for c in columns for k in parts}
+    if approximate and shares:
+        wanted |= {(c, "q"): percentiles(number(df, c), list(shares), True) for c in columns}
     got = aggregate(df, wanted)
+    exact = exact_quantiles(df, {c: number(df, c) for c in columns}, list(shares)) if shares and not approximate and columns else {}
     out = {}
     for c in columns:
-        m = {k: got[c, k] for k in ("count", "mean", "std", "var_pop", "var_samp", "min", "max", "q")}
-        m["skew"], m["kurtosis"] = corrected(m["count"], got[c, "g1"], got[c, "g2"])
-        m["q"] = list(m["q"]) if m["q"] is not None else [None] * len(shares)
+        m = {k: got[c, k] for k in parts if k not in ("g1", "g2")}
+        if "g1" in parts:
+            m["skew"], m["kurtosis"] = corrected(m["count"], got[c, "g1"], got[c, "g2"])
+        q = exact.get((c, None), got.get((c, "q")))
+        m["q"] = list(q) if q is not None else [None] * len(shares)
         out[c] = m
     return out
 
@@ -133,8 +203,6 @@ def sample(df: DataFrame, column: str, rows: int, seed: int = 42):
     Places in sorted order are drawn, and each value gives as many rows as its places were hit; so every row is as likely as any
     other, however often its value occurs, and the partitions don't matter.
     """
-    import numpy as np
-
     x = df.select(number(df, column).alias("x")).filter("x IS NOT NULL")
     n = x.count()
     if n <= rows:
@@ -150,6 +218,24 @@ def sample(df: DataFrame, column: str, rows: int, seed: int = 42):
     return ranks(x, "x").mapInPandas(hit, "value double").toPandas()["value"].to_numpy(dtype=float)
 
 
+def draw(df: DataFrame, rows: int, total: int, seed: int | None = None, keys: list[str] = ()) -> DataFrame:
+    """So many random rows of ``total``, or all if there are no more, without sorting the rest.
+
+    keys: columns whose values, unique together, decide with the seed; without them, rows are drawn as Spark deals them.
+    """
+    if keys:
+        text = F.concat_ws("|", F.lit(str(seed)), *(quoted(c).cast("string") for c in keys))
+        u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / 16.0**13
+    else:
+        u = F.rand(seed)
+    drawn = df.withColumn("_u", u)
+    share = (rows + 10 * rows**0.5 + 100) / max(1, total)
+    near = drawn.filter(F.col("_u") < share)
+    if share >= 1 or near.count() < rows:
+        near = drawn
+    return near.orderBy("_u", *map(quoted, keys)).limit(rows).drop("_u")
+
+
 def anderson_sum(df: DataFrame, column: str, mean: float, std: float) -> float:
     """What ``statistics.anderson_from`` takes, from the values' counts and ranks: the sum of (2i - 1) ln F + (2(n - i) + 1) ln(1 - F)."""
     from ..functions.statistics import log_tails
@@ -194,20 +280,34 @@ PAIRS_AT_ONCE = 12
 
 
 def spearmans(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[float | None, int]]:
-    """Pearson's r of the ranks among the rows that have both, weighted by how often a pair of values occurs.
+    """Pearson's r of the ranks among the rows that have both.
 
-    One job finds the ranges of all columns, and one the sums of ``PAIRS_AT_ONCE`` pairs.
+    One job finds the ranges and nulls of all columns. Columns without nulls are ranked once each, and one job takes the moments of all their
+    pairs; the ranks of a column with nulls depend on its partner, so those pairs are ranked by themselves, ``PAIRS_AT_ONCE`` a job.
     """
     names = sorted({c for p in pairs for c in p})
     buckets = bucket_count(df.sparkSession)
     shares = [i / buckets for i in range(1, buckets)]
-    got = aggregate(df, {(c,): F.percentile_approx(number(df, c), shares, 100 * buckets) for c in names}) if names else {}
-    bounds = {c: sorted(set(got[c,] or [])) for c in names}
+    found = {(c, "bounds"): F.percentile_approx(number(df, c), shares, 100 * buckets) for c in names} | {(c, "n"): F.count(number(df, c)) for c in names}
+    got = aggregate(df, found | {(): F.count("*")}) if names else {}
+    bounds = {c: sorted(set(got[c, "bounds"] or [])) for c in names}
+    whole = [c for c in names if got[c, "n"] == got[()]]
     out = {}
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        sums = [_rank_sums(df, a, b, bounds).withColumn("pair", F.lit(at + i)) for i, (a, b) in enumerate(pairs[at : at + PAIRS_AT_ONCE])]
+    if easy := [(a, b) for a, b in pairs if a in whole and b in whole]:
+        at = {c: i for i, c in enumerate(dict.fromkeys(c for p in easy for c in p))}
+        rows = df.select(*(number(df, c).cast("double").alias(f"x{i}") for c, i in at.items()))
+        for c, i in at.items():
+            rank = ranks(rows, f"x{i}", bounds[c]).select(F.col("value").alias(f"x{i}"), F.col("rank").alias(f"r{i}"))
+            rows = rows.join(rank, f"x{i}")
+        sums = aggregate(rows, {(a, b, k): v for a, b in easy for k, v in pair_moments(F.col(f"r{at[a]}"), F.col(f"r{at[b]}")).items()})
+        for a, b in easy:
+            m = {k: sums[a, b, k] for k in ("n", "cov", "sx", "sy")}
+            out[a, b] = pearson(m), m["n"]
+    rest = [p for p in pairs if p not in out]
+    for start in range(0, len(rest), PAIRS_AT_ONCE):
+        sums = [_rank_sums(df, a, b, bounds).withColumn("pair", F.lit(start + i)) for i, (a, b) in enumerate(rest[start : start + PAIRS_AT_ONCE])]
         for r in reduce(DataFrame.unionAll, sums).collect():
-            out[pairs[r["pair"]]] = _from_sums(r)
+            out[rest[r["pair"]]] = _from_sums(r)
     return {p: out[p] for p in pairs}
 
 
@@ -231,65 +331,72 @@ def _from_sums(m) -> tuple[float | None, int]:
     return max(-1.0, min(1.0, (m["xy"] / n - m["x"] * m["y"] / n / n) / (vx * vy) ** 0.5)), n
 
 
-KENDALL_CELLS = 2_000_000
-
-
 def kendalls(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[float | None, int]]:
-    """Kendall's tau-b from the cells of a pair. Counting inversions is serial: one task holds a pair's cells.
+    """Kendall's tau-b, exact, from the cells of a pair: the different pairs of values with their counts.
 
-    More than ``KENDALL_CELLS`` different pairs of values raise an error rather than give a sampled answer.
+    Both axes are dealt to ranges. Two cells are concordant or not by their ranges of x and y where both differ, which sums over ranges tell.
+    Two cells in one range of x are compared in the task of that range, and two of one range of y, but not of x, in the task of
+    that one. So a task holds the cells of a range, or those of one value that many rows share, which need no comparison.
     """
-    out = {}
-    for a, b in pairs:
-        rows = df.select(number(df, a).alias("x"), number(df, b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-        cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
-        if (m := cells.count()) > KENDALL_CELLS:
-            raise ValueError(f"Kendall's tau of {a!r} and {b!r} needs {m} cells; at most {KENDALL_CELLS} fit a task")
-        got = cells.groupBy(F.lit(0).alias("all")).applyInPandas(_tau, "tau double, n long").first()
-        out[a, b] = (None if got is None or got["tau"] is None or got["tau"] != got["tau"] else got["tau"], got["n"] if got else 0)
-    return out
+    return {(a, b): _kendall(df, a, b) for a, b in pairs}
 
 
-def _tau(cells):
-    import numpy as np
+def _own_ranges(rows: DataFrame, column: str, buckets: int) -> list[float]:
+    """Bounds of ranges of about equally many rows; a value of more than that has a range to itself."""
+    got = rows.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    return sorted({*got, *(math.nextafter(a, -math.inf) for a, b in zip(got, got[1:], strict=False) if a == b)})
+
+
+def _kendall(df: DataFrame, a: str, b: str) -> tuple[float | None, int]:
+    rows = df.select(number(df, a).cast("double").alias("x"), number(df, b).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
+    cut_x, cut_y = (_own_ranges(rows, c, bucket_count(df.sparkSession)) for c in ("x", "y"))
+    cells = cut(cells.withColumns({"p": bucket_of(F.col("x"), cut_x), "q": bucket_of(F.col("y"), cut_y)}), "kendall")
+    n = cells.agg(F.sum("n")).first()[0] or 0
+    ties = [cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0 for c in ("x", "y")]
+    sums = {(r["p"], r["q"]): r["n"] for r in cells.groupBy("p", "q").agg(F.sum("n").alias("n")).collect()}
+    grid = np.zeros((len(cut_x) + 1, len(cut_y) + 1))
+    for at, m in sums.items():
+        grid[at] = m
+    far = np.zeros_like(grid)  # of each range: rows below in both, less those below in x and above in y
+    upto = np.cumsum(np.cumsum(grid, 0), 1)
+    far[1:] = upto[:-1] - upto[:-1, -1:]
+    far[1:, 1:] += upto[:-1, :-1]
+    score = float((grid * far).sum())
+    # A range of a single value on its axis has ties only.
+    for own, other, skip in (("p", "x", None), ("q", "y", "p")):
+        mixed = cells.groupBy(own).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).filter("lo < hi").select(own)
+        near = cells.join(mixed, own).select(F.col(own).alias("range"), F.col("x" if skip is None else "p").cast("double").alias("x"), "y", "n")
+        got = near.groupBy("range").applyInPandas(_near, "score double").agg(F.sum("score")).first()[0]
+        score += got or 0.0
+    total = n * (n - 1) / 2
+    below = ((total - ties[0]) * (total - ties[1])) ** 0.5
+    return (score / below if below else None), n
+
+
+def _near(cells):
+    """Concordant less discordant pairs of rows, of cells that differ in x and in y, by merging."""
     import pandas as pd
 
     cells = cells.sort_values(["x", "y"])
-    n = cells["n"].to_numpy(dtype=float)
-    y = np.unique(cells["y"], return_inverse=True)[1]
-    total = n.sum()
-    tree = np.zeros(int(y.max()) + 2)
-
-    def add(i, v):
-        i += 1
-        while i < len(tree):
-            tree[i] += v
-            i += i & -i
-
-    def upto(i):
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    score = seen = 0.0
-    x = cells["x"].to_numpy()
-    at = 0
-    while at < len(x):
-        to = at
-        while to < len(x) and x[to] == x[at]:
-            low, le = upto(int(y[to])), upto(int(y[to]) + 1)
-            score += n[to] * (low - (seen - le))
-            to += 1
-        for k in range(at, to):
-            add(int(y[k]), n[k])
-            seen += n[k]
-        at = to
-    pairs = total * (total - 1) / 2
-    ties = lambda c: sum(v * (v - 1) / 2 for v in cells.groupby(c)["n"].sum())
-    below = ((pairs - ties("x")) * (pairs - ties("y"))) ** 0.5
-    return pd.DataFrame({"tau": [score / below if below else float("nan")], "n": [int(total)]})
+    x, y, n = cells["x"].to_numpy(), np.unique(cells["y"], return_inverse=True)[1], cells["n"].to_numpy(dtype=float)
+    group = np.unique(x, return_inverse=True)[1]
+    score, width, top = 0.0, 1, int(group.max(initial=0)) + 1
+    wide = int(y.max(initial=0)) + 2
+    while width < top:
+        # In each two neighbouring blocks of ``width`` values of x, rows of the second one meet those of the first.
+        block = group // width
+        first = block % 2 == 0
+        key = (block // 2) * wide + y
+        order = np.argsort(key[first], kind="stable")
+        keys, sums = key[first][order], np.append(0.0, np.cumsum(n[first][order]))
+        later = key[~first]
+        base = (block[~first] // 2) * wide
+        start, end = (sums[np.searchsorted(keys, b)] for b in (base, base + wide))
+        low, upto = sums[np.searchsorted(keys, later)], sums[np.searchsorted(keys, later, "right")]
+        score += float((n[~first] * ((low - start) - (end - upto))).sum())
+        width *= 2
+    return pd.DataFrame({"score": [score]})
 
 
 CORRELATIONS = {"pearson": pearsons, "spearman": spearmans, "kendall": kendalls}

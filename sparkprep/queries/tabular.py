@@ -18,7 +18,7 @@ from ..operators.features import FeatureEngineer
 from ..operators.profile import DataAnalyzer
 from ..operators.selection import FeatureSelector, select_features_auto
 from ..operators.target import TargetAnalyzer
-from ..plans.fused import small
+from ..plans.fused import pearsons, small
 from ..sources.files import read_csv, read_parquet, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,9 +252,9 @@ def filter_rows(spark, sf):
     return DataPreprocessor(load(spark, sf, "events", EVENT)).filter_rows(lambda d: d["value"] > 100).select("event_id", "value")
 
 
-@query("sample")
+@query("sample", "SELECT * EXCLUDE (u) FROM (SELECT *, substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 13) AS u FROM orders ORDER BY u LIMIT (SELECT CAST(round_even(0.1 * count(*), 0) AS BIGINT) FROM orders))")
 def sample(spark, sf):
-    return DataPreprocessor(load(spark, sf, "orders")).sample_data(frac=0.1, random_state=42)
+    return DataPreprocessor(load(spark, sf, "orders"), "o_orderkey").sample_data(frac=0.1, random_state=42)
 
 
 # -- outliers and clipping
@@ -277,6 +277,24 @@ for _m, _lo, _hi, _is in (("iqr", _LOW, _HIGH, f"(value < {_LOW} OR value > {_HI
     _handled(f"outlier_replace_{_m}", f"SELECT event_id, round(CASE WHEN {_is} THEN med ELSE value END, 4) AS value FROM t, b", method=_m, action="replace")
 
 
+_WIDE = {c: f"CASE WHEN l_linenumber % {i + 2} = 0 THEN NULL ELSE {c} END" for i, c in enumerate(NUMBERS)}
+
+
+@query("impute_mean_wide", "WITH t AS (SELECT l_orderkey, " + ", ".join(f"{x} AS {c}" for c, x in _WIDE.items()) + " FROM lineitem) SELECT l_orderkey, " + ", ".join(f"round(coalesce({c}, (SELECT avg({c}) FROM t)), 4) AS {c}" for c in _WIDE) + " FROM t")
+def impute_mean_wide(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr("l_orderkey", *(f"{x} AS {c}" for c, x in _WIDE.items()))
+    return long(DataPreprocessor(df).handle_missing_values("mean", NUMBERS), ["l_orderkey"], NUMBERS)
+
+
+@query(
+    "outlier_remove_wide",
+    "WITH b AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, quantile_cont({c}, 0.75) AS {c}_c" for c in NUMBERS) + " FROM lineitem) SELECT l_orderkey, " + ", ".join(NUMBERS) + " FROM lineitem, b WHERE "
+    + " AND ".join(f"{c} BETWEEN {c}_a - 1.5 * ({c}_c - {c}_a) AND {c}_c + 1.5 * ({c}_c - {c}_a)" for c in NUMBERS),
+)
+def outlier_remove_wide(spark, sf):
+    return DataPreprocessor(load(spark, sf, "lineitem").select("l_orderkey", *NUMBERS)).handle_outliers(NUMBERS, action="remove")
+
+
 @query("clip", _E + "SELECT event_id, round(CASE WHEN value < 10.5 THEN 10.5 WHEN value > 200.5 THEN 200.5 ELSE value END, 4) AS value FROM t")
 def clip(spark, sf):
     return DataPreprocessor(load(spark, sf, "events", EVENT)).clip_values("value", 10.5, 200.5).select("event_id", F.round("value", 4).alias("value"))
@@ -366,7 +384,10 @@ for _op, _sql in _OPS.items():
     query(f"clean_strings_{_op}", f"SELECT c_custkey, {_sql} AS s FROM (SELECT c_custkey, {_TEXT} AS s FROM customer)")(lambda spark, sf, op=_op: DataPreprocessor(_texts(spark, sf)).clean_string_columns(["s"], [op]))
 
 
-@query("clean_strings_title")
+@query(
+    "clean_strings_title",
+    rf"SELECT c_custkey, array_to_string(list_transform(generate_series(1, len(s)), lambda i: CASE WHEN i > 1 AND regexp_matches(s[i - 1], '\p{{L}}') THEN lower(s[i]) ELSE upper(s[i]) END), '') AS s FROM (SELECT c_custkey, {_TEXT} AS s FROM customer)",
+)
 def clean_strings_title(spark, sf):
     return DataPreprocessor(_texts(spark, sf)).clean_string_columns(["s"], ["title"])
 
@@ -692,6 +713,7 @@ def _corrected(name: str, method: str, sql: str):
 
 
 _corrected("fdr_bh", "fdr_bh", f"SELECT i, round(q, 6) AS p, q <= 0.05 AS reject FROM (SELECT i, least(1, min(p * 6 / r) OVER (ORDER BY p DESC, r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS q FROM (SELECT i, p::DOUBLE AS p, row_number() OVER (ORDER BY p, i) AS r FROM {_PV}))")
+_corrected("fdr_by", "fdr_by", f"SELECT i, round(q, 6) AS p, q <= 0.05 AS reject FROM (SELECT i, least(1, min(p * 6 * 2.45 / r) OVER (ORDER BY p DESC, r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS q FROM (SELECT i, p::DOUBLE AS p, row_number() OVER (ORDER BY p, i) AS r FROM {_PV}))")
 _corrected("bonferroni", "bonferroni", f"SELECT i, round(least(1, p * 6)::DOUBLE, 6) AS p, p * 6 <= 0.05 AS reject FROM {_PV}")
 _corrected("holm", "holm", f"SELECT i, round(q, 6) AS p, q <= 0.05 AS reject FROM (SELECT i, least(1, max(p * (7 - r)) OVER (ORDER BY r))::DOUBLE AS q FROM (SELECT i, p::DOUBLE AS p, row_number() OVER (ORDER BY p, i) AS r FROM {_PV}))")
 
@@ -734,6 +756,104 @@ def target_quality(spark, sf):
     return small(spark, rows + [("leak", s["feature"], 1) for s in q["leakage_suspects"]], "issue string, feature string, n long")
 
 
+# -- single tests and sizes
+
+
+def _groups(spark, sf):
+    """(n, mean, sample variance) of prices by flag."""
+    g = load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("m"), F.var_samp("l_extendedprice").alias("v"))
+    return [(r["n"], r["m"], r["v"]) for r in g.orderBy("l_returnflag").collect()]
+
+
+_G = "WITH g AS (SELECT count(*)::DOUBLE AS n, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY l_returnflag), s AS (SELECT sum(n) AS n, count(*)::DOUBLE AS k, sum((n - 1) * v) AS w, sum((n - 1) * ln(v)) AS l, sum(1 / (n - 1)) AS c FROM g)"
+
+
+@query("bartlett", _G + ", t AS (SELECT ((n - k) * ln(w / (n - k)) - l) / (1 + (c - 1 / (n - k)) / (3 * (k - 1))) AS t FROM s) SELECT round(t, 6) AS t, round(exp(-t / 2), 6) AS p FROM t")
+def bartlett(spark, sf):
+    t, p = st.bartlett([(n, v) for n, _, v in _groups(spark, sf)])
+    return small(spark, [(round(t, 6), round(p, 6))], "t double, p double")
+
+
+_R = "(SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem)"
+
+
+@query("correlation_ci", f"SELECT round(r, 6) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS high FROM {_R}")
+def correlation_ci(spark, sf):
+    ((r, n),) = pearsons(load(spark, sf, "lineitem"), [("l_quantity", "l_extendedprice")]).values()
+    got = st.calculate_correlation_ci(r, n)
+    return small(spark, [(round(r, 6), round(got["ci_lower"], 6), round(got["ci_upper"], 6))], "r double, low double, high double")
+
+
+@query("pearson_to_d", f"SELECT round(2 * r / sqrt(1 - r * r), 6) AS d FROM {_R}")
+def pearson_to_d(spark, sf):
+    ((r, _),) = pearsons(load(spark, sf, "lineitem"), [("l_quantity", "l_extendedprice")]).values()
+    return small(spark, [(round(st.pearson_r_to_d(r), 6),)], "d double")
+
+
+def _cells(spark, sf):
+    t = load(spark, sf, "lineitem").groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).count().fillna(0).orderBy("l_linestatus").collect()
+    return [list(r)[1:] for r in t]
+
+
+_X = "WITH c AS (SELECT l_linestatus AS a, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), d AS (SELECT l_returnflag AS b, count(*)::DOUBLE AS m FROM lineitem GROUP BY 1), e AS (SELECT a, b, n * m / (SELECT count(*) FROM lineitem) AS e FROM c, d)"
+
+
+@query("expected_frequencies", _X + " SELECT round(min(e), 4) AS least, round(100.0 * avg(CASE WHEN e < 5 THEN 1 ELSE 0 END), 4) AS percent_below, avg(CASE WHEN e < 5 THEN 1 ELSE 0 END) < 0.2 AS valid FROM e")
+def expected_frequencies(spark, sf):
+    got = st.check_chi2_expected_frequencies(_cells(spark, sf))
+    return small(spark, [(round(got["min_expected"], 4), round(got["percent_below"], 4), bool(got["valid"]))], "least double, percent_below double, valid boolean")
+
+
+@query("cramers_v_corrected", _X + ", o AS (SELECT l_linestatus AS a, l_returnflag AS b, count(*) AS o FROM lineitem GROUP BY ALL), z AS (SELECT sum((coalesce(o, 0) - e) ** 2 / e) AS x, sum(coalesce(o, 0))::DOUBLE AS n FROM e LEFT JOIN o USING (a, b)) SELECT round(sqrt(greatest(0, x / n - 2 / (n - 1)) / (least(2 - 1 / (n - 1), 3 - 4 / (n - 1)) - 1)), 6) AS v, round(sqrt(x / n), 6) AS uncorrected FROM z")
+def cramers_v_corrected(spark, sf):
+    got = st.cramers_v(_cells(spark, sf), bias_correction=True)
+    return small(spark, [(round(got["cramers_v"], 6), round(got["cramers_v_uncorrected"], 6))], "v double, uncorrected double")
+
+
+@query("sample_size", "SELECT bool_and(n >= 30) AS ttest, sum(n) >= 30 * count(*) AS chi2 FROM (SELECT count(*) AS n FROM labels GROUP BY toxic, quality)")
+def sample_size(spark, sf):
+    groups = [r["v"] for r in load(spark, sf, "labels").groupBy("toxic", "quality").agg(F.collect_list(F.lit(1.0)).alias("v")).collect()]
+    return small(spark, [tuple(bool(st.validate_sample_size(groups, t)["sufficient"]) for t in ("ttest", "chi2"))], "ttest boolean, chi2 boolean")
+
+
+_K2 = (
+    "WITH t AS (SELECT n_chars::DOUBLE AS x FROM documents), m AS (SELECT count(x)::DOUBLE AS n, avg(x) AS u FROM t), k AS (SELECT max(n) AS n, avg((x - u) ** 3) / avg((x - u) ** 2) ** 1.5 AS g1, avg((x - u) ** 4) / avg((x - u) ** 2) ** 2 AS b2 FROM t, m), "
+    "a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, "
+    "(b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS z, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS c FROM k), "
+    "b AS (SELECT *, 6 + 8 / c * (2 / c + sqrt(1 + 4 / (c * c))) AS a FROM a), d AS (SELECT *, 1 + z * sqrt(2 / (a - 4)) AS d FROM b), "
+    "e AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - sign(d) * (abs((1 - 2 / a) / d)) ** (1.0::DOUBLE / 3)) / sqrt(2 / (9 * a)) AS z2 FROM d) "
+    "SELECT round(z1 * z1 + z2 * z2, 2) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p FROM e"
+)
+
+
+@query("normaltest", _K2)
+def normaltest(spark, sf):
+    got = DataAnalyzer(load(spark, sf, "documents").select("n_chars")).check_normality("n_chars", "normaltest")
+    return small(spark, [(round(float(got["statistic"]), 2), round(float(got["p_value"]), 6))], "k2 double, p double")
+
+
+@query("select_callable", _S + each(["q", "q3", "d", "t", "p"], "SELECT '{c}' AS feature, round(max({c}) - min({c}), 4) AS score FROM t"))
+def select_callable(spark, sf):
+    def widths(df, features, target):
+        r = df.agg(*((F.max(c) - F.min(c)).alias(c) for c in features)).first()
+        return {c: r[c] for c in features}
+
+    s = FeatureSelector(_selectable(spark, sf), "y")
+    s.select_by_statistical_test(2, score_func=widths)
+    return _scores(spark, s, "custom")
+
+
+@query("target_vif", "SELECT unnest(['l_discount', 'l_tax']) AS feature, round(1 / (1 - (SELECT corr(l_discount, l_tax) FROM lineitem) ** 2), 6) AS vif")
+def target_vif(spark, sf):
+    df = load(spark, sf, "lineitem").select("l_discount", "l_tax", "l_returnflag")
+    return TargetAnalyzer(df, "l_returnflag").calculate_vif().select("feature", F.round("VIF", 6).alias("vif"))
+
+
+@query("flag_callable", "SELECT event_id, CAST(CASE WHEN value > 100 THEN 1 ELSE 0 END AS INTEGER) AS large FROM events")
+def flag_callable(spark, sf):
+    return FeatureEngineer(load(spark, sf, "events").select("event_id", "value")).create_flag_features("value", lambda v: v > 100, "large").select("event_id", "large")
+
+
 # -- texts for people: rows only
 
 
@@ -751,13 +871,31 @@ def summary_report(spark, sf):
     return small(spark, enumerate(_target(spark, sf).generate_summary_report().split("\n")), "line int, text string")
 
 
-@query("suggest_features")
+def _suggested(c: str) -> str:
+    """What the rules say of a numeric feature without nulls; with three classes the tail of F has a closed form."""
+    f = "(sum(n * (m - g) * (m - g)) / 2) / (sum(n * v) / (sum(n) - 3))"
+    p = f"(SELECT (1 + 2 * {f} / (sum(n) - 3)) ** (-(sum(n) - 3) / 2.0::DOUBLE) FROM (SELECT count(*)::DOUBLE AS n, avg({c}) AS m, var_pop({c}) AS v, (SELECT avg({c}) FROM t) AS g FROM t GROUP BY o_orderstatus))"
+    return (
+        f"SELECT '{c}' AS feature, CASE WHEN k > 0 THEN 'Apply log or sqrt transformation' ELSE 'Apply square or exponential transformation' END AS suggestion, CASE WHEN abs(k) > 2 THEN 'high' ELSE 'medium' END AS priority, 'transformations' AS category FROM (SELECT skewness({c}) AS k FROM t) WHERE abs(k) > 1 "
+        f"UNION ALL SELECT '{c}', 'Apply StandardScaler or MinMaxScaler', 'medium', 'scaling' FROM t HAVING max({c}) - min({c}) > 100 "
+        f"UNION ALL SELECT '{c}', 'Bin into categorical groups', 'low', 'binning' WHERE {p} > 0.05"
+    )
+
+
+@query("suggest_features", "WITH t AS (SELECT o_totalprice, o_orderstatus, length(o_orderpriority) AS len, month(o_orderdate) AS month FROM orders) " + " UNION ALL ".join(map(_suggested, ["o_totalprice", "len", "month"])))
 def suggest_features(spark, sf):
     rows = _target(spark, sf).suggest_feature_engineering()
     return small(spark, [(s["feature"], s["suggestion"], s["priority"], s["category"]) for s in rows], "feature string, suggestion string, priority string, category string")
 
 
-@query("recommend_models")
+@query(
+    "recommend_models",
+    "WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus), s AS (SELECT max(n) / min(n) AS r, sum(n) AS n FROM c) "
+    "SELECT CASE WHEN r > 1.5 THEN 'Random Forest with class_weight=''balanced''' ELSE 'Random Forest' END AS model, 'high' AS priority FROM s "
+    "UNION ALL SELECT 'XGBoost with scale_pos_weight', 'high' FROM s WHERE r > 1.5 UNION ALL SELECT 'Logistic Regression (penalty=l2)', 'medium' "
+    "UNION ALL SELECT 'Support Vector Machine (SVM)', 'medium' FROM s WHERE n < 1000 UNION ALL SELECT 'Neural Network (MLP)', 'medium' FROM s WHERE n > 50000 "
+    "UNION ALL SELECT 'LightGBM', CASE WHEN n > 50000 THEN 'high' ELSE 'medium' END FROM s UNION ALL SELECT 'Cross-Validation with multiple models', 'high' FROM s WHERE n < 1000",
+)
 def recommend_models(spark, sf):
     return small(spark, [(r["model"], r["priority"]) for r in _target(spark, sf).recommend_models()], "model string, priority string")
 
