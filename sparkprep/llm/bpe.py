@@ -172,7 +172,7 @@ def _bucketed(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     of = (distinct >> U64(20)) % U64(buckets)
     order = np.argsort(of, kind="stable")
     names, begin = np.unique(of[order], return_index=True)
-    return order, names.astype(np.int64), begin, np.append(begin[1:], len(order))
+    return order, names.astype(np.int64), begin, np.append(begin[1:], len(order))[: len(begin)]  # none without words
 
 
 WORDS = "bucket int, block long, n int, lengths binary, words binary"

@@ -9,7 +9,9 @@ the leaf is included if that comes nearer to the target. Histograms have at most
 Sizes are counted once and written to the shared folder (id, source, size and hash: a small part of the text). Sums are
 map-side combined, so a source that holds a third of all rows is no hot key; only its histogram meets in one task.
 
-Null text has size 0 and is never taken. A null source is the last one. Rows with equal ids share a hash and go together.
+Null and empty texts have size 0 and are never taken; very long ones are counted whole. A null source is the last one. Repeated rows and
+rows with equal ids share a hash and go together. There is a row for each source in one task, so sources must be a list of
+some thousands, not of hosts.
 A table without words gives targets of 0. Empty tables give empty results; other columns are ignored
 by ``mix`` and pass ``take``.
 """

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .common import WORD
 from .mixing import BITS, LEVELS
-from .queries import RULES, WEIGHTS
+from .queries import RULES, SHARDS, WEIGHTS
+from .sharding import SLOTS, fill
 
 _SPACE = 16**9
 assert 1 << BITS * LEVELS == _SPACE
@@ -51,7 +52,7 @@ def _longest(value) -> str:
     return "CASE " + " ".join(f"WHEN {fit(r)} THEN '{value(r)}'" for r in best) + " ELSE NULL END"
 
 
-def _spread(name: str, seed: str, source: str, target: str, rounds: int = 9, damping: float = 0.85) -> str:
+def _spread(name: str, seed: str, source: str, target: str, rounds: int = 60, damping: float = 0.85) -> str:
     steps = [
         f"{name}_step AS (SELECT {source} AS host, {target} AS dest, n / sum(n) OVER (PARTITION BY {source}) AS share FROM edges)",
         f"{name}_0 AS (SELECT host, {seed} AS score, {seed} AS seed FROM hosts)",
@@ -91,4 +92,17 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-ORACLES = {"op8_mixing": OP8, "op9_url_filters": OP9}
+def _owners(shards: list[str]) -> str:
+    """The filled table as text: three digits for each slot. SQL checks the placement by it; how it is filled is tested in Python."""
+    return "".join(f"{k:03d}" for k in fill(shards).tolist())
+
+
+_SHARD = "'shard-' || substr('{}', 3 * slot + 1, 3)"
+OP10 = f"""
+WITH placed AS (
+  SELECT doc_id, CAST(CASE WHEN doc_id IS NULL THEN 0 ELSE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {SLOTS} END AS INTEGER) AS slot
+  FROM documents)
+SELECT doc_id, slot, {_SHARD.format(_owners(SHARDS))} AS shard, {_SHARD.format(_owners(SHARDS[:-1]))} AS shard_without_last FROM placed
+"""
+
+ORACLES = {"op10_sharding": OP10, "op8_mixing": OP8, "op9_url_filters": OP9}

@@ -5,7 +5,8 @@ slot of its permutation that is still free, until all are claimed. Shares differ
 shard moves few slots of the others. A row is placed by hash and one lookup.
 
 The table has a fixed size whatever the data (65,537 slots by default), so it may be broadcast. Placement needs no
-shuffle. A null key goes to slot 0; equal keys share a shard; empty tables give empty results; other columns pass.
+shuffle. A null key goes to slot 0, an empty one by its hash; equal keys, ties and repeated rows share a shard, and very long keys are
+hashed whole. Empty tables give empty results; other columns pass.
 """
 
 from __future__ import annotations
@@ -44,7 +45,9 @@ def fill(shards: list[str], slots: int = SLOTS) -> np.ndarray:
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(key.cast("string")), F.lit(slots)), F.lit(0)).cast("int")
+    """By 60 bits of the key's MD5, which every SQL engine can compute."""
+    hashed = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.coalesce(F.pmod(hashed, F.lit(slots)), F.lit(0)).cast("int")
 
 
 def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS, name: str = "shard") -> DataFrame:

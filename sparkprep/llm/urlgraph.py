@@ -8,7 +8,8 @@ Everything is DataFrame operations. Links are summed to (source host, target hos
 host is one row on the score side and AQE can split it on the link side; the iterations handle hosts, not pages.
 
 Null and odd input: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null html
-has no links; repeated rows count as pages of their own; an empty table gives an empty result; other columns are ignored.
+has no links, and a very long one is searched whole; repeated rows count as pages of their own; a host whose trust and distrust
+are equal is allowed; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
+TOLERANCE = 1e-6
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)(?:href|src)\s*=\s*[\x22\x27]?[a-z][a-z0-9+.-]*://([^/?#\x22\x27\s>]*)"
 
@@ -68,6 +70,8 @@ def links(pages: DataFrame) -> DataFrame:
 def spread(hosts: DataFrame, edges: DataFrame, seed: str, source: str, target: str, damping: float, rounds: int) -> DataFrame:
     """(host, score): personalised PageRank over ``edges`` from ``source`` to ``target``, restarting at ``seed``.
 
+    It ends when three rounds move less than ``TOLERANCE`` of all scores, or after ``rounds``, when damping ** rounds of them may still move.
+
     Scores add up to 1 (or are all 0): mass that leaves at hosts without outgoing edges returns to the seeds in proportion,
     which in the limit scales all scores alike.
     """
@@ -78,18 +82,23 @@ def spread(hosts: DataFrame, edges: DataFrame, seed: str, source: str, target: s
     step = cut(step, "links")
     scores = hosts.select("host", F.col(seed).alias("score"), F.col(seed).alias("seed"))
     if not step.isEmpty():
+        scores = scores.withColumn("was", F.col("score"))
         for i in range(rounds):
             got = scores.join(step, "host").groupBy("to").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
             scores = scores.join(got.withColumnRenamed("to", "host"), "host", "left").select(
-                "host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("score"), "seed"
+                "host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("seed")).alias("score"), "seed", "was"
             )
             if i % 3 == 2:
                 scores = cut(scores, "scores")
+                moved, total = scores.agg(F.sum(F.abs(F.col("score") - F.col("was"))), F.sum("score")).first()
+                if moved <= TOLERANCE * total:
+                    break
+                scores = scores.withColumn("was", F.col("score"))
     total = scores.agg(F.sum("score")).first()[0] or 0.0
     return scores.select("host", (F.col("score") / total if total else F.lit(0.0)).alias("score"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int = 9) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int = 60) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust and distrust of its host."""
     url = F.col("url")
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
