@@ -131,7 +131,7 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         x = {c: number(self.df, c) for c in names}
         known = self.df.filter(self._y.isNotNull())
         exact = {} if approximate or not names else fused.exact_quantiles(known, x, [0.5], self._y)
-        middle = (lambda c: F.percentile_approx(x[c], 0.5, fused.SKETCH)) if approximate else (lambda c: _by_class(self._y, {g: q[0] for (k, g), q in exact.items() if k == c}))
+        middle = (lambda c: F.percentile_approx(x[c], 0.5, fused.SKETCH)) if approximate else (lambda c: _of_class(self._y, {g: q[0] for (k, g), q in exact.items() if k == c}))
         stats = {"count": F.count, "mean": F.avg, "median": None, "std": F.stddev_samp, "min": F.min, "max": F.max}
         wide = known.groupBy(self._y.cast("string").alias("class"))
         wide = wide.agg(*(F.struct(*((f(x[c]) if f else middle(c)).alias(k) for k, f in stats.items())).alias(f"s{i}") for i, c in enumerate(names)))
@@ -396,7 +396,7 @@ class TargetAnalyzer(ReportingMixin, SuggestionsMixin, FeatureEngineeringBase):
         }
 
 
-def _by_class(y, values: dict):
+def _of_class(y, values: dict):
     """The value of the row's class, as an aggregate."""
     pairs = [F.lit(v) for g, q in values.items() for v in (g, q)]
     return F.first(F.create_map(*pairs)[y.cast("string")]) if pairs else F.lit(None).cast("double")

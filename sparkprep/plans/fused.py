@@ -75,7 +75,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[floa
                 at[g, i, k] = inside
     counts = aggregate(rows, wanted) if wanted else {}
     few = {key: F.collect_list(F.when(at[key], F.col(f"x{key[1]}"))) for key in parts if 0 < counts[*key, "in"] <= INSIDE and parts[key][1] < parts[key][2]}
-    values = aggregate(rows, few) if few else {}
+    values = aggregate(rows.filter(reduce(Column.__or__, (at[key] for key in few))), few) if few else {}
 
     def pick(key: tuple, rank: int) -> float:
         """The value of so many before it."""

@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from ..operators.profile import DataAnalyzer
 from ..operators.selection import FeatureSelector, select_features_auto
 from ..operators.target import TargetAnalyzer
 from ..plans.fused import pearsons, small
+from ..plans.scratch import shared_dir
 from ..sources.files import read_csv, read_parquet, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,12 +353,7 @@ def reset_index(spark, sf):
 
 @query("csv_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp()
-    path = f"{folder}/nation-{os.urandom(8).hex()}"
+    path = f"{shared_dir(spark)}/nation-{os.urandom(8).hex()}"
     write_csv(load(spark, sf, "nation"), path)
     return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
