@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -12,34 +10,45 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import shared_dir
+
 #: ASCII white space, as the contracts' word pattern has it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs in one process."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkprep-"))
-        where = sc.getCheckpointDir()
-    return where
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing reads any more, and has Spark drop the shuffle files of plans that are gone.
+
+    What was made of them must be written by now, as lost tasks could not read them again. Spark frees shuffle files when the driver's
+    collector finds their plans unused, which without this call may be long after.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for t in tables:
+        path(t._scratch).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(t._scratch), True)
+    spark._jvm.System.gc()
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables"
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes the tables that ``cut`` wrote; for when no frame that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables that ``cut`` wrote in this application; for when no frame that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(_tables(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(path(f"{_tables(spark)}/{spark.sparkContext.applicationId}"), True)
+    if files.exists(path(_tables(spark))) and not list(files.listStatus(path(_tables(spark)))):
+        files.delete(path(_tables(spark)), False)
 
 
 def importable(spark: SparkSession) -> None:

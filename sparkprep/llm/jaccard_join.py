@@ -13,16 +13,14 @@ Relations between sets let the join skip most of its work:
 * Lists that still hold several components are then walked through in blocks of equal size, ordered by position. Sizes out of
   range, blocks whose position leaves too little overlap, and sets of the same component are skipped. Of two sets with
   answers from one leader, the difference is at least that of their distances, which skips most of a leader's far copies.
-  Maps of the parity of hashes bound the difference of any two from below: of 128 bits first, then of about as many
-  bits as the set has shingles. So only pairs that nearly link leave a list, and there are as few of those as of links.
+  Maps of the parity of hashes, of about as many bits as the set has shingles, bound the difference of any two from below. So only pairs that nearly link leave a list, and there are as few of those as of links.
 * The answers of sets with one leader are derived from the leader's: two sets differ in what sets either of them apart from
   the leader, but not both. So those small differences are compared, and no whole set is looked at again.
 
 Every skipped pair either is in one component already or cannot link, so components are exact. Other pairs are verified on
 whole sets of 64-bit shingle hashes.
 
-No list has to fit in a task. Its length is counted by a sum that tasks begin before they shuffle; a list of more than ``LIST``
-rows is dealt into chunks by hash, and each two chunks meet in a task of their own. A set's wide map is sent once to each part
+No list has to fit in a task's memory. Its rows pass as a stream where its length is counted; a list of more than ``LIST`` rows is dealt into chunks by hash, and each two chunks meet in a task of their own. A set's wide map is sent once to each part
 of the lists, not with each row.
 
 Shingles count as frequent by counts over all documents: tasks report those they hold more than once; the ones kept have at
@@ -44,13 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, forget, shuffle_partitions
 from .components import components
 from .textnum import U64, release, shingles, slices, view
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000  # shingles that a task counts at a time
 LIST = 50_000  # rows of a list that meet in one task
+SHORT = 8  # rows of a list whose pairs are all held against each other before it is dealt
 LONG, UNITS = 1_000, 100_000  # a list's rows from which on it is walked by component; rows of lists walked at a time
 
 
@@ -65,7 +64,12 @@ def parity(s: np.ndarray, bits: int) -> bytes:
 
 
 def apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference; the longer map is folded to the lower bits that the shorter one has."""
+    """A lower bound of the symmetric difference; the longer map is folded to the lower bits that the shorter one has.
+
+    An empty map, of an id that stands for several sets, tells nothing.
+    """
+    if not x or not y:
+        return 0
     if len(x) < len(y):
         x, y = y, x
     a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)
@@ -75,6 +79,17 @@ def apart(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
+def short(x: bytes) -> tuple[int, int]:
+    """A map folded to 128 bits, or zeros if it has fewer."""
+    a, size = int.from_bytes(x, "little"), len(x)
+    if size < 16:
+        return 0, 0
+    while size > 16:
+        size //= 2
+        a = (a >> 8 * size) ^ (a & (1 << 8 * size) - 1)
+    return a & (1 << 64) - 1, a >> 64
+
+
 def _repeated(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -113,7 +128,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-SETS = "doc_id long, n int, h1 long, h2 long, b0 long, b1 long, parity binary, prefix array<long>"
+SETS = "doc_id long, n int, h1 long, h2 long, parity binary, prefix array<long>"
 
 
 def _sets(k: int, percent: int, hot):
@@ -126,7 +141,7 @@ def _sets(k: int, percent: int, hot):
                 n = len(s)
                 if not n:
                     prefixes.append(s.view(np.int64))
-                    rows.append((0, None, None, 0, 0, b""))
+                    rows.append((0, None, None, b""))
                     continue
                 rank = np.zeros(n, np.int64)
                 if len(token):
@@ -134,8 +149,7 @@ def _sets(k: int, percent: int, hot):
                     rank = np.where(token[at] == s, often[at], 0)
                 prefixes.append(s[np.lexsort((s, rank))[: prefix_length(n, percent)]].view(np.int64))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                short = np.frombuffer(parity(s, 128), "<i8")
-                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), *short.tolist(), parity(s, max(8, 1 << n.bit_length()))))
+                rows.append((n, *np.frombuffer(digest, np.int64).tolist(), parity(s, max(8, 1 << n.bit_length()))))
             n, *rest = zip(*rows, strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefixes])), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +161,7 @@ def _sets(k: int, percent: int, hot):
 
 
 #: token is null in the rows that bring the wide map of a set.
-DEALT = "part int, token long, one int, two int, own int, id long, n int, pos int, b0 long, b1 long, label long, ref long, d int, parity binary"
+DEALT = "part int, token long, one int, two int, own int, id long, n int, pos int, label long, ref long, d int, parity binary"
 
 
 class _Near:
@@ -161,6 +175,10 @@ class _Near:
             setattr(self, c, x[order])
         self.n, self.pos = self.n.astype(np.int64), self.pos.astype(np.int64)
         self.maps, self.percent = maps, percent
+        known, at = np.unique(self.id, return_inverse=True)
+        folded = np.array([short(maps[i]) for i in known.tolist()], U64).reshape(-1, 2)
+        self.b0, self.b1 = folded[at, 0], folded[at, 1]
+        self.wide = np.array([len(maps[i]) >= 16 for i in known.tolist()], bool)[at]
 
     def test(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
         """The rows i have the smaller sets."""
@@ -174,7 +192,9 @@ class _Near:
         # Two chunks meet to compare what isn't in one of them.
         some &= (self.one[i] == self.two[i]) | (self.own[i] != self.own[j])
         some &= (self.ref[i] != self.ref[j]) | (np.abs(self.d[i] - self.d[j]) <= room)
-        some &= np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j]) <= room
+        i, j, room = i[some], j[some], room[some]
+        least = np.bitwise_count(self.b0[i] ^ self.b0[j]).astype(np.int64) + np.bitwise_count(self.b1[i] ^ self.b1[j])
+        some = (least <= room) | ~(self.wide[i] & self.wide[j])
         for x, y, r in zip(self.id[i[some]].tolist(), self.id[j[some]].tolist(), room[some].tolist(), strict=True):
             if apart(self.maps[x], self.maps[y]) <= r:
                 yield min(x, y), max(x, y)
@@ -213,8 +233,7 @@ def _across(percent: int):
 
         def work() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            cols = {c: t.column(c).to_numpy() for c in ("token", "one", "two", "own", "id", "n", "pos", "b0", "b1", "label", "ref", "d")}
-            cols["b0"], cols["b1"] = cols["b0"].view(U64), cols["b1"].view(U64)
+            cols = {c: t.column(c).to_numpy() for c in ("token", "one", "two", "own", "id", "n", "pos", "label", "ref", "d")}
             for pair in _Near(cols, maps, percent).pairs():
                 out.add(pair)
                 if len(out) >= 100_000:
@@ -277,6 +296,17 @@ def _close(percent: int):
     return run
 
 
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """The least overlap with which sets of n and m shingles link."""
+    return F.ceil(percent * (n + m) / (100 + percent)).cast("int")
+
+
+def _fit(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles may link that share the one at the positions pos and at, and none before."""
+    need = _need(n, m, percent)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (n - pos >= need) & (m - at >= need)
+
+
 def _linked(n: Column, m: Column, differ: Column, percent: int) -> Column:
     """Whether sets of n and m shingles that differ in so many link."""
     both = (n + m - differ) / 2
@@ -316,21 +346,21 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = cut(docs.mapInArrow(_sets(k, percent, hot), SETS), "sets")
     hot.destroy()
     by_set = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
-    nodes = by_set.agg(F.min(F.struct("doc_id", "n", "b0", "b1", "parity", "prefix")).alias("s"))
-    nodes = cut(nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.b0", "s.b1", "s.parity", "s.prefix"), "nodes")
-
-    index = nodes.select("id", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token"))
-    shared = index.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
-    lists = cut(index.join(shared, "token"), "lists")
+    nodes = by_set.agg(F.min(F.struct("doc_id", "n", "parity", "prefix")).alias("s"))
+    nodes = cut(nodes.select("h1", "h2", F.col("s.doc_id").alias("id"), "s.n", "s.parity", "s.prefix"), "nodes")
+    of_set = cut(sets.select("doc_id", "n", "h1", "h2"), "set-of")
+    forget(spark, sets)
+
+    # Shuffled once: lengths and leaders are taken, and joined, where a list's rows are. They pass as a stream, so a long one fills no memory.
+    index = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    leader = index.groupBy("token").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "id", "n")).alias("l")).filter("rows > 1")
+    lists = cut(index.join(leader, "token"), "lists")
+    wide, nodes = nodes, cut(nodes.drop("prefix"), "nodes")
+    forget(spark, wide)
 
     # Each set against the leader of each of its lists.
-    leader = lists.groupBy("token").agg(F.min(F.struct("pos", "id", "n", "b0", "b1")).alias("l"))
-    met = lists.join(leader, "token").filter(F.col("id") != F.col("l.id"))
-    small, large = F.least("n", F.col("l.n")), F.greatest("n", F.col("l.n"))
-    need = F.ceil(percent * (small + large) / (100 + percent)).cast("int")
-    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("l.b0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("l.b1")))
-    met = met.filter((100 * small >= percent * large) & (F.col("n") - F.col("pos") >= need) & (F.col("l.n") - F.col("l.pos") >= need))
-    met = met.filter(differ <= small + large - 2 * need)
+    met = lists.filter(F.col("id") != F.col("l.id"))
+    met = met.filter(_fit(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), percent))
     one = nodes.select(F.col("id").alias("a"), "n", F.col("parity").alias("x"))
     two = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
     met = met.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct().join(one, "a").join(two, "b")
@@ -340,27 +370,41 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A set's reference is the leader, of those it was held against, that most sets were.
     led = answers.join(answers.groupBy("b").agg(F.count("*").alias("led")), "b")
     refs = led.groupBy("a").agg(F.max_by(F.struct("b", "delta"), F.struct("led", -F.size("delta"), "b")).alias("r"))
-    refs = cut(refs.select(F.col("a").alias("id"), F.col("r.b").alias("ref"), "r.delta").join(nodes.select("id", "n"), "id"), "references")
+    # An id of several texts stands for several sets; it has no reference, and its map is empty.
+    single = nodes.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
+    refs = refs.select(F.col("a").alias("id"), F.col("r.b").alias("ref"), "r.delta")
+    refs = cut(refs.join(single.filter("sets = 1").select("id", "n"), "id"), "references")
 
     # What is left between components.
     labelled = lists.join(first, "id", "left").join(refs.select("id", "ref", F.size("delta").alias("d")), "id", "left")
     # Without a reference a set is its own.
     labelled = labelled.withColumns({"label": F.coalesce("component", "id"), "ref": F.coalesce("ref", "id"), "d": F.coalesce("d", F.lit(0))}).drop("component")
-    labelled = cut(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).filter("x <> y")
+    labelled = labelled.select("token", "rows", "id", "n", "pos", "label", "ref", "d")
+    # In a short list all pairs are held against each other's sizes and positions at once; of a longer one, its labels and least size are taken.
+    fits = lambda x, y: (x["label"] != y["label"]) & _fit(x["n"], x["pos"], y["n"], y["pos"], percent)
+    short = labelled.filter(F.col("rows") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("n", "pos", "label")).alias("l"))
+    short = short.filter(F.exists("l", lambda x: F.exists("l", lambda y: fits(x, y)))).select("token", F.array_min(F.col("l.n")).alias("least"))
+    long = labelled.filter(F.col("rows") > SHORT).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least"))
+    mixed = short.unionAll(long.filter("x <> y").select("token", "least"))
+    # Rows go that are too far on for the least overlap that any size in the list asks for.
+    partner = F.greatest("least", F.ceil(percent * F.col("n") / 100))
     chunks = F.ceil(F.col("rows") / LIST).cast("int")
-    rest = labelled.join(mixed.select("token", "rows"), "token").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    rest = labelled.join(mixed, "token").filter(F.col("n") - F.col("pos") >= _need(F.col("n"), F.least("n", partner), percent)).drop("least")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
     rest = rest.withColumn("to", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rest = rest.withColumns({"one": F.least("own", "to"), "two": F.greatest("own", "to")})
-    rest = cut(rest.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(parts)).cast("int")), "mixed-lists")
+    rest = cut(rest.withColumn("part", F.pmod(F.xxhash64("token", "one", "two"), F.lit(parts)).cast("int")).drop("rows", "to"), "mixed-lists")
+    forget(spark, lists)
     names = [c.split()[0] for c in DEALT.split(", ")]
-    maps = rest.select("part", "id").distinct().join(nodes.select("id", "parity"), "id")
+    map_of = nodes.groupBy("id").agg(F.when(F.count("*") == 1, F.max("parity")).otherwise(F.lit(b"")).alias("parity"))
+    maps = rest.select("part", "id").distinct().join(map_of, "id")
     blank = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in DEALT.split(", ")[1:-1] if c != "id long"]
     rows = rest.withColumn("parity", F.lit(None).cast("binary")).select(names).unionAll(maps.select("part", "id", "parity", *blank).select(names))
     rows = rows.repartitionById(parts, "part").sortWithinPartitions(F.col("part"), F.col("token").asc_nulls_first(), "one", "two")
     more = rows.mapInArrow(_across(percent), "a long, b long").distinct()
     known = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(_derived(more.join(known, ["a", "b"], "left_anti"), refs, percent), "derived")
+    forget(spark, rest)
     whole = _answers(more.filter("derived IS NULL").select("a", "b"), docs, nodes, k, percent)
     more = whole.filter("linked").select("a", "b").unionAll(more.filter("derived").select("a", "b"))
     label = first.select("id", "component")
@@ -379,6 +423,6 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .select("h1", "h2", F.coalesce("merged", "component").alias("component"))
     )
     # Equal sets may be many; AQE splits their partition, as a node is one row.
-    return sets.join(cut(of_node, "node-components"), ["h1", "h2"], "left").select(
+    return of_set.join(cut(of_node, "node-components"), ["h1", "h2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )

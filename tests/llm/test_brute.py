@@ -339,8 +339,8 @@ def test_walk_through_lists(monkeypatch, long, seed):
     sets = near_rows(r, 60)
     lists = [r.sample(range(60), r.randint(2, 40)) for _ in range(12)]
     label = [r.randrange(6) if r.random() < 0.5 else 100 + i for i in range(60)]
-    rows = [(t, 0, 0, 0, i, len(sets[i]), 0, *np.frombuffer(jaccard_join.parity(sets[i], 128), "<u8").tolist(), label[i], i, 0) for t, ids in enumerate(lists) for i in ids]
-    cols = {c: np.array([x[k] for x in rows], np.uint64 if c in ("b0", "b1") else np.int64) for k, c in enumerate(("token", "one", "two", "own", "id", "n", "pos", "b0", "b1", "label", "ref", "d"))}
+    rows = [(t, 0, 0, 0, i, len(sets[i]), 0, label[i], i, 0) for t, ids in enumerate(lists) for i in ids]
+    cols = {c: np.array([x[k] for x in rows], np.int64) for k, c in enumerate(("token", "one", "two", "own", "id", "n", "pos", "label", "ref", "d"))}
     maps = {i: jaccard_join.parity(s, max(8, 1 << len(s).bit_length())) for i, s in enumerate(sets)}
     got = set(jaccard_join._Near(cols, maps, 80).pairs())
     for ids in lists:
@@ -367,6 +367,16 @@ def test_join_with_lists_in_chunks(spark, monkeypatch):
     assert got == plain_components(rows, 3, 80)
 
 
+def test_join_with_several_texts_of_one_id(spark):
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    a, b, c = (words(r, 80, vocabulary) for _ in range(3))
+    near = lambda t, x: " ".join([*t.split()[:-1], x])
+    rows = [(5, a), (5, b), (9, near(b, "x")), (8, near(a, "y")), (7, c), (6, near(c, "z")), (3, c + " " + words(r, 40, vocabulary))]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {5: 5, 9: 5, 8: 5, 7: 6, 6: 6, 3: 3}
+
+
 def test_near_duplicates_stage_tells_rows_apart(spark, tmp_path):
     """Rows without an id take part; different texts under one id both stay; of equal rows one does."""
     r = random.Random(9)
