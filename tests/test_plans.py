@@ -43,8 +43,9 @@ def test_exact_quantiles(spark):
 
 
 def test_quantiles_bracketed_again(spark, monkeypatch):
-    monkeypatch.setattr(fused, "INSIDE", 10)
-    df = frame(spark, 5000, 2)
+    monkeypatch.setattr(fused, "SKETCH", 100)
+    monkeypatch.setattr(fused, "INSIDE", 199)
+    df = frame(spark, 20_000, 2)
     x = df.select("x").dropna().toPandas()["x"]
     assert fused.exact_quantiles(df, {"x": F.col("x")}, [0.3, 0.8])["x", None] == pytest.approx(np.quantile(x, [0.3, 0.8]), rel=1e-9)
 
