@@ -150,21 +150,24 @@ class DataPreprocessor(FeatureEngineeringBase):
             bucket = F.lit(0)
         w = Window.partitionBy("_bucket").orderBy(*order)
         rows = df.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(w))
-        before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        # Rows after a row are those before it in a descending order: Spark goes over all rows up to an unbounded following end again for each row.
+        before = Window.partitionBy("_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+        after = Window.partitionBy("_bucket").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
         pairs = [F.when(quoted(c).isNotNull(), F.struct(F.col("_row").alias("r"), quoted(c).alias("v"))) for c in names]
         sums = rows.groupBy("_bucket").agg(
             F.count("*").alias("_n"),
             *(F.max_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_last{i}") for i, p in enumerate(pairs)),
             *(F.min_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_first{i}") for i, p in enumerate(pairs)),
         )
-        by = Window.orderBy("_bucket")  # a row for each range
-        above, below = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+        # a row for each range
+        above = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        below = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("_start", F.coalesce(F.sum("_n").over(above), F.lit(0)))
         ends = {f"_{k}{i}": F.when(F.col(f"_{k}{i}").isNotNull(), F.struct((F.col(f"_{k}{i}.r") + F.col("_start")).alias("r"), F.col(f"_{k}{i}.v").alias("v"))) for k in ("last", "first") for i in range(len(names))}
         sums = sums.withColumns(ends)
-        carried = {f"_c{i}": F.last(f"_last{i}", True).over(above) for i in range(len(names))} | {f"_d{i}": F.first(f"_first{i}", True).over(below) for i in range(len(names))}
+        carried = {f"_c{i}": F.last(f"_last{i}", True).over(above) for i in range(len(names))} | {f"_d{i}": F.last(f"_first{i}", True).over(below) for i in range(len(names))}
         sums = sums.select("_bucket", "_start", *(v.alias(k) for k, v in carried.items()))
-        rows = rows.withColumns({f"_b{i}": F.last(p, True).over(before) for i, p in enumerate(pairs)} | {f"_a{i}": F.first(p, True).over(after) for i, p in enumerate(pairs)})
+        rows = rows.withColumns({f"_b{i}": F.last(p, True).over(before) for i, p in enumerate(pairs)} | {f"_a{i}": F.last(p, True).over(after) for i, p in enumerate(pairs)})
         rows = rows.join(F.broadcast(sums), "_bucket").withColumn("_at", F.col("_row") + F.col("_start"))  # 258 ranges at most
         new = {}
         for i in range(len(names)):

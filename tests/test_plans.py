@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,28 @@ def test_data_of_plots(spark):
     points, _, _ = plots.feature_vs_target_data(TargetAnalyzer(df.select("hot", "few"), "hot", "regression"), "few", 50)
     assert points.count() == 50
     assert DataAnalyzer(df).get_numeric_summary().count() == 4
+
+
+def gaps(spark, n=30_000, seed=3):
+    """(frame, its values in order): nulls at both ends, over more rows than a range has, and here and there; rows in no order."""
+    r = np.random.default_rng(seed)
+    x = r.normal(0, 100, n)
+    x[r.random(n) < 0.3] = np.nan
+    x[:40] = x[-40:] = x[n // 3 : n // 3 + 9_000] = np.nan
+    rows = [(int(i), None if math.isnan(x[i]) else float(x[i])) for i in r.permutation(n)]
+    return spark.createDataFrame(rows, "id long, x double").repartition(5), x
+
+
+def filled(df, strategy):
+    """The values in order; no frame of a window may end at the last row, as Spark goes over all of its rows for each row."""
+    out = DataPreprocessor(df, order_by="id").handle_missing_values(strategy, ["x"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    return [r["x"] for r in out.orderBy("id").collect()]
+
+
+def test_backward_fill_in_one_pass(spark):
+    df, x = gaps(spark)
+    got = filled(df, "backward_fill")
+    want = pd.Series(x).bfill()
+    assert [v is None for v in got] == want.isna().tolist()
+    assert [v for v in got if v is not None] == want.dropna().tolist()
