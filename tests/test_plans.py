@@ -168,3 +168,11 @@ def test_backward_fill_in_one_pass(spark):
     want = pd.Series(x).bfill()
     assert [v is None for v in got] == want.isna().tolist()
     assert [v for v in got if v is not None] == want.dropna().tolist()
+
+
+def test_interpolation_in_one_pass(spark):
+    df, x = gaps(spark, seed=4)
+    got = filled(df, "interpolate")
+    want = pd.Series(x).interpolate()
+    assert [v is None for v in got] == want.isna().tolist()
+    assert [v for v in got if v is not None] == pytest.approx(want.dropna().tolist(), rel=1e-9, abs=1e-9)
