@@ -6,6 +6,7 @@ import struct
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -91,3 +92,18 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["language_id", "jaccard_join", "pii", "byte_bpe"])
+def test_batches_are_bounded_in_bytes(spark, stages, name):
+    root, _ = stages
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{root}/documents.parquet"), str(root))
+    long = spark.range(4_000, numPartitions=1).selectExpr("repeat('word ', 2000) AS text")
+    sizes = [r["n"] for r in long.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert len(sizes) > 1 and max(sizes) <= corpus_pipeline.BATCH + 20_000
+    spark.conf.set(key, "1m")
+    corpus_pipeline.small_batches(spark)
+    assert spark.conf.get(key) in ("1m", "1048576b")
+    spark.conf.unset(key)
