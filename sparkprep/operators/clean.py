@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidMethodError, InvalidStrategyError, ValidationError
 from ..functions import strings
-from ..plans.fused import aggregate, bucket_count, bucket_of, distinct_counts, draw, exact_quantiles, quantile_bounds
+from ..plans.fused import aggregate, bucket_count, dealt, distinct_counts, draw, exact_quantiles, quantile_bounds
 from ..schema import get_string_columns, is_numeric, is_time, kind, number, quoted, validate_columns, validate_numeric_columns
 from .base import FeatureEngineeringBase
 from .profile import DataAnalyzer
@@ -140,22 +140,26 @@ class DataPreprocessor(FeatureEngineeringBase):
         carries over from one range to the next is a row for each range. So no task sees all rows, unless the column is text.
         """
         df, order = self.df, self._ordered(order_by)
+        if not names:
+            return df
         first = ([order_by] if isinstance(order_by, str) else list(order_by or self.order_by))[0]
         key, t = quoted(first), kind(df, first)
         if is_numeric(t) or is_time(t):
-            bounds = quantile_bounds(df, key, bucket_count(self.spark))
-            bucket = F.when(key.isNull(), len(bounds) + 1).otherwise(bucket_of(key, bounds))
+            bounds = quantile_bounds(df, key, min(256, 4 * bucket_count(self.spark)))  # hashed to partitions, several even out
+            rows = dealt(df, "_bucket", key, bounds).withColumn("_bucket", F.when(key.isNull(), len(bounds) + 1).otherwise(F.col("_bucket")))
         else:
             log.warning("rows ordered by %r, which is no number or time, are handled in one task", first)
-            bucket = F.lit(0)
+            rows = df.withColumn("_bucket", F.lit(0))
         w = Window.partitionBy("_bucket").orderBy(*order)
-        rows = df.withColumn("_bucket", bucket).withColumn("_row", F.row_number().over(w))
-        # Rows after a row are those before it in a descending order: Spark goes over all rows up to an unbounded following end again for each row.
-        before = Window.partitionBy("_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-        after = Window.partitionBy("_bucket").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
         pairs = [F.when(quoted(c).isNotNull(), F.struct(F.col("_row").alias("r"), quoted(c).alias("v"))) for c in names]
-        sums = rows.groupBy("_bucket").agg(
-            F.count("*").alias("_n"),
+        # Only a range's rows up to the first known value of each column and from the last one on are sorted for what carries over.
+        known = [F.when(quoted(c).isNotNull(), key) for c in names]
+        ranges = rows.groupBy("_bucket").agg(F.count("*").alias("_n"), F.array_max(F.array(*map(F.min, known))).alias("_head"), F.array_min(F.array(*map(F.max, known))).alias("_tail"))
+        ends = rows.join(F.broadcast(ranges), "_bucket").filter(F.col("_head").isNull() | key.isNull() | (key <= F.col("_head")) | (key >= F.col("_tail")))
+        sums = ends.withColumn("_row", F.row_number().over(w)).groupBy("_bucket").agg(
+            F.first("_n").alias("_n"),
+            (F.first("_n") - F.count("*")).alias("_left"),
             *(F.max_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_last{i}") for i, p in enumerate(pairs)),
             *(F.min_by(p, F.when(p.isNotNull(), F.col("_row"))).alias(f"_first{i}") for i, p in enumerate(pairs)),
         )
@@ -163,11 +167,13 @@ class DataPreprocessor(FeatureEngineeringBase):
         above = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         below = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("_start", F.coalesce(F.sum("_n").over(above), F.lit(0)))
-        ends = {f"_{k}{i}": F.when(F.col(f"_{k}{i}").isNotNull(), F.struct((F.col(f"_{k}{i}.r") + F.col("_start")).alias("r"), F.col(f"_{k}{i}.v").alias("v"))) for k in ("last", "first") for i in range(len(names))}
-        sums = sums.withColumns(ends)
+        place = {"last": F.col("_start") + F.col("_left"), "first": F.col("_start")}  # a last value comes after the rows left out
+        sums = sums.withColumns({f"_{k}{i}": F.when(F.col(f"_{k}{i}").isNotNull(), F.struct((F.col(f"_{k}{i}.r") + x).alias("r"), F.col(f"_{k}{i}.v").alias("v"))) for k, x in place.items() for i in range(len(names))})
         carried = {f"_c{i}": F.last(f"_last{i}", True).over(above) for i in range(len(names))} | {f"_d{i}": F.last(f"_first{i}", True).over(below) for i in range(len(names))}
         sums = sums.select("_bucket", "_start", *(v.alias(k) for k, v in carried.items()))
-        rows = rows.withColumns({f"_b{i}": F.last(p, True).over(before) for i, p in enumerate(pairs)} | {f"_a{i}": F.last(p, True).over(after) for i, p in enumerate(pairs)})
+        # The next value by lead in the window that the rows are sorted for: one sort, and one pass where a frame up to an unbounded following end takes many.
+        rows = rows.withColumn("_row", F.row_number().over(w)).withColumns({f"_p{i}": p for i, p in enumerate(pairs)})
+        rows = rows.withColumns({f"_b{i}": F.last(f"_p{i}", True).over(upto) for i in range(len(names))} | {f"_a{i}": F.coalesce(F.col(f"_p{i}"), F.expr(f"lead(_p{i}) IGNORE NULLS").over(w)) for i in range(len(names))})
         rows = rows.join(F.broadcast(sums), "_bucket").withColumn("_at", F.col("_row") + F.col("_start"))  # 258 ranges at most
         new = {}
         for i in range(len(names)):

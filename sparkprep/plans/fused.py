@@ -172,6 +172,24 @@ def bucket_of(c: Column, bounds: list) -> Column:
     return tree(0, len(bounds))
 
 
+def dealt(df: DataFrame, name: str, c: Column, bounds: list) -> DataFrame:
+    """The frame with ``bucket_of`` as a column. Many bounds are a tree over blocks of them and, as a step of its own, a tree over
+    one block by place: the code of one tree over all is more than the JVM compiles, and takes several times as long."""
+    if len(bounds) <= 64:
+        return df.withColumn(name, bucket_of(c, bounds))
+    step = math.isqrt(len(bounds)) + 1
+    at = F.array(*map(F.lit, bounds))
+    first = F.col(name) * step
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return first + lo
+        mid = (lo + hi) // 2
+        return F.when(c > F.get(at, first + mid), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return df.withColumn(name, bucket_of(c, bounds[step - 1 :: step])).withColumn(name, tree(0, step - 1))
+
+
 def bucket_count(spark: SparkSession) -> int:
     """As many ranges as shuffle partitions, as far as one expression holds them."""
     return max(2, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -1,5 +1,6 @@
 """Plans against plain versions: quantiles, ranks, tau, sums of tables, and samples."""
 
+import bisect
 import math
 import random
 
@@ -176,3 +177,56 @@ def test_interpolation_in_one_pass(spark):
     want = pd.Series(x).interpolate()
     assert [v is None for v in got] == want.isna().tolist()
     assert [v for v in got if v is not None] == pytest.approx(want.dropna().tolist(), rel=1e-9, abs=1e-9)
+
+
+def test_interpolation_sorts_rows_once(spark, tmp_path):
+    """By the given order only; a second time only the ends of ranges and ranges without values, for what carries over."""
+    df, x = gaps(spark, seed=5)
+    df.withColumn("more", F.lit("m")).write.parquet(str(tmp_path / "x"))
+    out = DataPreprocessor(spark.read.parquet(str(tmp_path / "x")), order_by="id").handle_missing_values("interpolate", ["x"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "- Sort [_bucket" in line and "_row" in line]
+    sc, none = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, none, None)
+        return {(t.stageId(), t.attemptId()): t.shuffleWriteRecords() for t in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    assert len(out.collect()) == len(x)
+    assert sum(n for k, n in shuffled().items() if k not in before) < 1.5 * len(x)
+
+
+@pytest.mark.parametrize("strategy", ["forward_fill", "backward_fill", "interpolate"])
+def test_fills_by_two_keys(spark, strategy):
+    """Equal and null first keys, several columns that are known in other places, one never known, more than 64 ranges."""
+    r = np.random.default_rng(6)
+    n = 4000
+    p = pd.DataFrame({"a": r.integers(0, 300, n).astype(float), "b": r.permutation(n), "x": r.normal(0, 9, n), "y": r.normal(0, 9, n), "z": np.nan})
+    p.loc[r.random(n) < 0.1, "a"] = np.nan
+    p.loc[r.random(n) < 0.97, "x"] = np.nan
+    p.loc[(p["a"] < 100) | (r.random(n) < 0.5), "y"] = np.nan
+    rows = [tuple(None if v != v else v for v in t) for t in p.itertuples(index=False, name=None)]
+    df = spark.createDataFrame(rows, "a double, b long, x double, y double, z double").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    try:
+        out = DataPreprocessor(df, order_by=["a", "b"]).handle_missing_values(strategy, ["x", "y", "z"])
+        got = {t["b"]: t for t in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    want = p.sort_values(["a", "b"], na_position="last")
+    for c in ("x", "y", "z"):
+        full = {"forward_fill": want[c].ffill, "backward_fill": want[c].bfill, "interpolate": want[c].interpolate}[strategy]()
+        values = [got[b][c] for b in want["b"]]
+        assert [v is None for v in values] == full.isna().tolist()
+        assert [v for v in values if v is not None] == pytest.approx(full.dropna().tolist(), rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 80, 81, 255])
+def test_rows_are_dealt_by_bounds(spark, n):
+    r = np.random.default_rng(n)
+    bounds = sorted(r.choice(5000, n, replace=False).tolist())
+    df = spark.createDataFrame([(i,) for i in range(-5, 5005)] + [(None,)], "k long")
+    for t in fused.dealt(df, "at", F.col("k"), bounds).collect():
+        assert t["at"] == (0 if t["k"] is None else bisect.bisect_left(bounds, t["k"]))
